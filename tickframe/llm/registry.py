@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickframe.llm import chat, decontaminate, langid, mixing, pii, secrets, simhash, vectors
+from tickframe.llm import chat, decontaminate, langid, mixing, phrases, pii, secrets, simhash, suffixes, vectors
 from tickframe.llm.common import table
 
 
@@ -28,6 +28,16 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op4_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without 20-word windows that start earlier too."""
+    return phrases.deduplicate(table(spark, sf_dir, "documents"))
+
+
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without 100-byte strings that start earlier too."""
+    return suffixes.deduplicate(table(spark, sf_dir, "documents"))
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every conversation (and conversation -7) read back from its formatted turns."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
