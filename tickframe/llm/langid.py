@@ -144,23 +144,42 @@ def train(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", ro
     return fit(flags, [r["lang"] for r in found])
 
 
+def classify(model: Model | None, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Label and score of each text."""
+    pred, score = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
+    if model is None:
+        return pred, score
+    letters = pc.fill_null(pc.match_substring_regex(texts, r"\pL"), False).to_numpy(zero_copy_only=False)
+    names = np.array(model.labels, object)
+    for i, flags in presence_blocks(texts):
+        s = model.score(flags)
+        best = s.argmax(axis=1)
+        at = slice(i, i + len(flags))
+        pred[at] = np.where(letters[at], names[best], UNKNOWN)
+        score[at] = np.where(letters[at], np.clip((s[np.arange(len(s)), best] + 1) / 2, 0, 1), 0)
+    return pred, score
+
+
 def predict(docs: DataFrame, model: Model | None, id_col="doc_id", text_col="text") -> DataFrame:
     """doc_id, lang_pred, score for every row, from its text alone."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n = b.num_rows
-            pred, score = np.full(n, UNKNOWN, object), np.zeros(n)
-            if model is not None:
-                letters = pc.fill_null(pc.match_substring_regex(b["text"], r"\pL"), False).to_numpy(zero_copy_only=False)
-                names = np.array(model.labels, object)
-                for i, flags in presence_blocks(b["text"]):
-                    s = model.score(flags)
-                    best = s.argmax(axis=1)
-                    at = slice(i, i + len(flags))
-                    pred[at] = np.where(letters[at], names[best], UNKNOWN)
-                    score[at] = np.where(letters[at], np.clip((s[np.arange(len(s)), best] + 1) / 2, 0, 1), 0)
+            pred, score = classify(model, b["text"])
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(pred, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+
+
+def recognised(docs: DataFrame, model: Model | None, text_col="text") -> DataFrame:
+    """The rows of ``docs``, whole, whose language is recognised; nothing is joined back."""
+    small_batches(docs.sparkSession)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            pred, _ = classify(model, b.column(at))
+            yield b.filter(pa.array(pred != UNKNOWN, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

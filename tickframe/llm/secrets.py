@@ -119,3 +119,21 @@ def redact(text: Column, spans: Column, mask: str = "[REDACTED]") -> Column:
 
     done = F.aggregate(spans, zero, add)
     return F.when(F.size(spans) > 0, F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text)))).otherwise(text)
+
+
+def redacted(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, text_col: str = "text", mask: str = "[REDACTED]") -> DataFrame:
+    """All rows and columns of ``docs`` with secrets masked.
+
+    Only contents with findings are joined back, by their hash, so texts are shuffled once for the scan
+    and once to meet the findings.
+    """
+    version = rule_version(rules)
+    known = scan_unseen(docs, ledger, rules, text_col)
+    if ledger is not None:
+        known = known.unionByName(ledger.where(F.col("rule_version") == version))
+    hits = known.where(F.size("spans") > 0).select("blob", "spans").alias("hits")
+    rows = docs.alias("rows")
+    text = F.col(f"rows.`{text_col}`")
+    masked = F.when(F.col("hits.spans").isNotNull(), redact(text, F.col("hits.spans"), mask)).otherwise(text)
+    columns = [masked.alias(c) if c == text_col else F.col(f"rows.`{c}`") for c in docs.columns]
+    return rows.join(hits, blob_id(text) == F.col("hits.blob"), "left").select(*columns)
