@@ -1,0 +1,305 @@
+"""Decontamination, personal data, fingerprints, language, secrets, mixing: brute force and odd inputs."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from tests.llm.data import SCHEMA, corpus, prose, words
+from tickframe.llm import decontaminate, langid, mixing, pii, registry, secrets, simhash
+from tickframe.llm.common import components
+
+ODD = [(1, None), (2, ""), (3, " \n"), (3, " \n"), (None, "x"), (5, "y " * 40_000), (6, "¡é漢 \U0001f600")]
+
+
+def odd(spark):
+    rows = [(*r, "en", None, "a", "b", 1) for r in ODD]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, blob string, spans string, component_id int")
+
+
+# ------------------------------------------------------------------------------------------- op 1
+
+
+def test_leaks(spark):
+    rng = random.Random(5)
+    items = [(i, prose(rng, 30)) for i in range(12)] + [(90, "too short"), (91, None)]
+    docs = [(i, prose(rng, 200)) for i in range(40)]
+    for i in range(10):
+        w = items[i][1].split()
+        if i % 2:  # a fifth of the words replaced
+            for k in range(0, len(w), 5):
+                w[k] = "qqq"
+        docs[i] = (i, prose(rng, 80) + " " + " ".join(w).upper() + "!! " + prose(rng, 50))
+    got = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(i, i) for i in range(10)}
+    assert all((r["score"] == 1) == (r["doc_id"] % 2 == 0) for r in got)
+
+
+def test_alignment_equals_plain_dynamic_program():
+    rng = np.random.default_rng(1)
+    pairs = [(rng.integers(2, 7, rng.integers(1, 12)).astype(np.uint64), rng.integers(2, 7, rng.integers(0, 30)).astype(np.uint64)) for _ in range(60)]
+    got = decontaminate.align([a for a, _ in pairs], [b for _, b in pairs])
+    for (a, b), s in zip(pairs, got):
+        h = np.zeros((len(a) + 1, len(b) + 1))
+        for i in range(len(a)):
+            for j in range(len(b)):
+                h[i + 1, j + 1] = max(0, h[i, j] + (1 if a[i] == b[j] else -0.5), h[i, j + 1] - 0.5, h[i + 1, j] - 0.5)
+        assert s == pytest.approx(h.max() / len(a))
+
+
+def test_leaks_in_portions_and_odd_rows(spark, monkeypatch):
+    bench = spark.createDataFrame([(1, "one two three four five six"), (2, "alpha beta gamma delta epsilon")], "item_id long, text string")
+    docs = spark.createDataFrame([*ODD, (9, "so one two three four five six"), (10, "Alpha, Beta gamma delta; epsilon")], "doc_id long, text string")
+    want = {(9, 1), (10, 2)}
+    assert {(r[0], r[1]) for r in decontaminate.leaks(docs, bench).collect()} == want
+    monkeypatch.setattr(decontaminate, "PORTION_BYTES", 8)
+    assert {(r[0], r[1]) for r in decontaminate.leaks(docs, bench).collect()} == want
+    assert decontaminate.leaks(docs, bench.limit(0)).collect() == []
+    assert decontaminate.leaks(docs.limit(0), bench).collect() == []
+
+
+# ------------------------------------------------------------------------------------------- op 2
+
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def plain_spans(text):
+    out = []
+    for k, (kind, pattern) in enumerate(PATTERNS.items()):
+        for m in re.finditer(pattern, text):
+            d = re.sub("[^0-9]", "", m[0])
+            ok = {"email": True, "ip": all(int(x) <= 255 for x in m[0].split(".")) if kind == "ip" else 0, "card": 12 <= len(d) <= 19 and pii.luhn(d), "phone": 9 <= len(d) <= 15}[kind]
+            if ok:
+                out.append((m.start(), k, m.end()))
+    return sorted(out)
+
+
+def test_base_spans_equal_plain_patterns():
+    rng = random.Random(2)
+    pieces = ["a@b.co", "@", "1.2.3.4", "4111 1111 1111 1111", "+1 (523) 555-1055", ".", " ", "é", "-", "_", "99", "300.1.1.1", "x.y@z", "a@b.c_d@e.f", "+", "00012.1.1.255", "(", ")"]
+    for _ in range(3000):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randrange(1, 9)))
+        assert pii.base_spans(text) == plain_spans(text), text
+
+
+def test_scan_adds_spans_and_keeps_base(spark):
+    text = "é write a.b@example.org or (523) 555-1055, host 10.0.0.1 card 4111.1111.1111.1111 in 1999"
+    rows = spark.createDataFrame([(100, text), *ODD], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.scan(rows).collect()}
+    base = plain_spans(text)
+    assert got[100]["base"] == pii.show(base)
+    spans = got[100]["spans"].split(",")
+    assert set(got[100]["base"].split(",")) < set(spans)
+    at = text.index("(523")
+    assert f"phone:{at}:{at + 14}" in spans
+    assert got[2]["spans"] == "" and got[100]["n_email"] == 1
+    assert pii.scan(rows.limit(0)).collect() == []
+
+
+def test_viterbi_equals_all_paths():
+    field = pii.train(pii.labelled_rows(1), rounds=20)
+    buf = np.frombuffer(b"call 12 34-5 x@y +4 (5) then 9 8", np.uint8)
+    starts, ends, first = pii.word_bounds(buf, np.array([0, len(buf)]))
+    r = pii.runs_of(buf, starts, ends, first)
+    e, got = field.emissions(r), field.decode(r)
+    for a, b in zip(r.heads, [*r.heads[1:], len(r.words)]):
+        def best(t, k):
+            if t == b:
+                return field.steps[k, 0], ()
+            return max(((field.steps[k, m] + e[t, m] + (x := best(t + 1, m))[0], (m, *x[1])) for m in range(5)), key=lambda z: z[0])
+        assert tuple(got[a:b]) == best(a, 0)[1]
+
+
+def test_field_learns_its_table():
+    rows = pii.labelled_rows()
+    field = pii.train(rows)
+    hit = total = 0
+    for text, spans in rows:
+        buf = np.frombuffer(text.encode(), np.uint8)
+        found = pii.field_spans(field, buf, np.array([0, len(buf)])).get(0, [])
+        for part in filter(None, spans.split(",")):
+            kind, s, e = part.split(":")
+            if kind in ("email", "phone"):
+                total += 1
+                hit += any(pii.KINDS[k] == kind and a < int(e) and b > int(s) for a, k, b in found)
+    assert hit > 0.9 * total
+
+
+# ------------------------------------------------------------------------------------------- op 3
+
+
+def fingerprint(text):
+    w = words(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    if not w:
+        return 0
+    h = [xxhash.xxh64_intdigest(" ".join(w[i : i + 3]).encode(), 42) for i in range(max(1, len(w) - 2))]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def classes(nodes, near):
+    parent = {n: n for n in nodes}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in near:
+        x, y = sorted((find(a), find(b)))
+        parent[y] = x
+    return {n: find(n) for n in nodes}
+
+
+def test_simhash_equals_brute_force(spark):
+    rows = corpus(4)
+    got = {r["doc_id"]: (r["fp"] % (1 << 64), r["component_id"]) for r in simhash.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    fps = {r[0]: fingerprint(r[1]) for r in rows}
+    near = [(a, b) for a in fps for b in fps if a < b and (fps[a] ^ fps[b]).bit_count() <= 3]
+    want = classes(sorted(fps), near)
+    assert got == {i: (fps[i], want[i]) for i in fps}
+
+
+def test_golay_keys_find_all_links(spark):
+    rng = random.Random(6)
+    base = [rng.getrandbits(64) for _ in range(60)]
+    fps = set(base)
+    for x in base:
+        for _ in range(12):
+            fps.add(x ^ sum(1 << p for p in rng.sample(range(64), rng.randrange(1, 5))))
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    nodes = spark.createDataFrame([(signed(x),) for x in fps], "fp long")
+    got = {(r["a"], r["b"]) for r in simhash.links(nodes).collect()}
+    want = {(a, b) for a in map(signed, fps) for b in map(signed, fps) if a < b and ((a ^ b) % (1 << 64)).bit_count() <= 3}
+    assert got == want
+
+
+def test_simhash_odd_rows(spark):
+    got = simhash.near_duplicates(odd(spark)).collect()
+    assert len(got) == len(ODD)
+    assert {r["component_id"] for r in got if r["doc_id"] in (1, 2, 3)} == {1}
+    assert simhash.near_duplicates(odd(spark).limit(0)).collect() == []
+
+
+def test_components(spark):
+    rng = random.Random(8)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(i, i + 1) for i in range(1000, 1080)] + [(5, None)]
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    real = [(a, b) for a, b in edges if b is not None and a != b]
+    want = classes(sorted({x for e in real for x in e}), real)
+    assert got == want
+
+
+# ------------------------------------------------------------------------------------------- op 8
+
+
+def test_secrets_equal_plain_patterns(spark):
+    rng = random.Random(9)
+    pieces = ['password="', "abcdefgh1", "token: ", "API_KEY = '", "AKIA", "ABCDEFGH12345678", "deadbeef" * 5, " ", "é", "\U0001f600", "secret=", "x", "=", '"', "apikey:k"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randrange(1, 10))) for _ in range(400)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(1000 + i, t) for i, t in enumerate(texts[:50])]
+    got = {r["doc_id"]: r["s"] for r in secrets.findings(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", secrets.spans_text(F.col("spans")).alias("s")).collect()}
+    patterns = (("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 2, 8), ("access", re.compile("AKIA[A-Z0-9]+"), 0, 16), ("hex", re.compile("[0-9a-f]+"), 0, 32))
+    for i, text in rows:
+        want = sorted((m.start(), k, m.end(), name) for k, (name, p, g, least) in enumerate(patterns) for m in p.finditer(text) if len(m[g]) >= least)
+        assert got[i] == ",".join(f"{n}:{s}:{e}" for s, _, e, n in want), text
+
+
+def test_ledger_scans_only_unseen(spark):
+    docs = spark.createDataFrame([(1, "v1", "token=abcdefgh"), (1, "v2", "nothing"), (2, "v1", "token=abcdefgh")], "doc_id long, version string, text string")
+    first = secrets.scan_unseen(docs)
+    assert first.count() == 2
+    ledger = spark.createDataFrame(first.collect(), first.schema)
+    assert secrets.scan_unseen(docs, ledger).count() == 0
+    more = docs.unionByName(spark.createDataFrame([(3, "v1", "secret: 12345678")], docs.schema))
+    assert secrets.scan_unseen(more, ledger).count() == 1
+    other = secrets.RULES[:1]
+    assert secrets.scan_unseen(docs, ledger, other).count() == 2
+    found = secrets.findings(more, ledger, path_cols=("doc_id", "version")).collect()
+    assert sorted((r["doc_id"], r["version"]) for r in found if r["spans"]) == [(1, "v1"), (2, "v1"), (3, "v1")]
+
+
+def test_redaction_and_odd_rows(spark):
+    docs = odd(spark).unionByName(spark.createDataFrame([(9, "é token=abcdefgh é", "en", None, "a", "b", 1), (10, "k=" + "ab" * 20 + ".", "en", None, "a", "b", 1)], odd(spark).schema))
+    got = {r["doc_id"]: r["text"] for r in secrets.redacted(docs).collect()}
+    assert got[9] == "é [REDACTED] é" and got[10] == "k=[REDACTED]." and got[1] is None
+    assert secrets.redacted(docs).columns == docs.columns and secrets.redacted(docs).count() == docs.count()
+    assert secrets.findings(docs.limit(0)).collect() == []
+
+
+# ------------------------------------------------------------------------------------------- op 9
+
+
+def test_language(spark):
+    rng = random.Random(11)
+    alphabets = {"aa": "abcde", "bb": "cdefg", "cc": "éabfg"}
+    rows = []
+    for i in range(400):
+        lang = rng.choice(sorted(alphabets))
+        rows.append((i, " ".join("".join(rng.choice(alphabets[lang]) for _ in range(rng.randrange(2, 7))) for _ in range(40)), lang if i % 9 else None, lang))
+    rows += [(1000, None, "aa", "x"), (1001, "12 34 !!", "bb", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r for r in langid.predict(docs, langid.train(docs)).collect()}
+    out = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 == 2 and r[0] < 1000]
+    assert sum(got[r[0]]["lang_pred"] == r[3] for r in out) >= 0.97 * len(out)
+    assert got[1000]["lang_pred"] == got[1001]["lang_pred"] == "und" and all(0 <= r["score"] <= 1 for r in got.values())
+    assert langid.predict(docs, None).where("lang_pred <> 'und'").count() == 0
+    assert langid.train(docs.limit(0)) is None
+    assert langid.predict(odd(spark), langid.train(docs)).count() == len(ODD)
+
+
+# ------------------------------------------------------------------------------------------- op 10
+
+
+def test_mix_near_targets(spark):
+    rng = random.Random(12)
+    rows = [(i, " ".join("w" * rng.randrange(1, 4) for _ in range(rng.choice([0, 1, 3, 50, 51, 400]))), rng.choice(["s1", "s2", "s10", None, "é"])) for i in range(600)] + [(1, None, "s1"), (None, "a b", "s2"), (2, "a", "s2"), (2, "a", "s2")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(docs).collect()
+    assert len(got) == len(rows)
+    per = {}
+    for r in got:
+        s = per.setdefault(r["source"], [r["target"], r["source_size"], 0, 0])
+        s[2] += r["taken"]
+        s[3] += r["size"]
+        assert r["taken"] in (0, r["size"], 2 * r["size"])
+    assert all(s[1] == s[3] and s[2] <= s[0] + 1e-6 and s[2] > s[0] - 2 for s in per.values())
+    assert sum(s[0] for s in per.values()) == pytest.approx(1.5 * sum(s[1] for s in per.values()))
+    again = mixing.mix(docs.repartition(7)).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
+    assert mixing.mix(docs.limit(0)).collect() == []
+
+
+def test_targets_are_reshared():
+    t = mixing.targets([("a", 10), ("b", 100), ("c", 1000), (None, 5)])
+    assert t["a"] == 20 and t["b"] == 200 and sum(t.values()) == pytest.approx(1.5 * 1115)
+    assert all(t[s] <= 2 * n for s, n in [("a", 10), ("b", 100), ("c", 1000), (None, 5)])
+
+
+def test_knapsack_equals_search():
+    rng = random.Random(13)
+    for _ in range(200):
+        n = rng.randrange(1, 5)
+        lengths, counts, budget = [rng.randrange(1, 12) for _ in range(n)], [rng.randrange(0, 4) for _ in range(n)], rng.randrange(0, 40)
+        got = mixing.knapsack(lengths, counts, budget)
+        assert all(0 <= g <= c for g, c in zip(got, counts))
+        sums = {0}
+        for x, c in zip(lengths, counts):
+            sums = {s + k * x for s in sums for k in range(c + 1)}
+        assert sum(g * x for g, x in zip(got, lengths)) == max(s for s in sums if s <= budget)
+
+
+def test_registry_names():
+    names = list(registry.queries())
+    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11))
+    assert set(registry.oracle_sql()) <= set(names)
+    assert hashlib.sha256(b"").hexdigest().startswith("e3b0")

@@ -1,8 +1,8 @@
 """Benchmark decontamination: rare n-gram seeds find passages, Smith-Waterman alignment scores them.
 
 Words are runs of letters in lower case (any script), so punctuation and decoration do not matter. All 3-word sequences
-of the test items are counted over the whole corpus; the rarer half of each item's sequences (8 at least)
-are its seeds. A seed in a document marks a passage around the place where the whole item would lie, and
+of the test items are counted over the whole corpus; of each item's sequences that occur there, the rarer
+half (8 at least) are its seeds. A seed in a document marks a passage around the place where the whole item would lie, and
 item and passage are aligned word by word (match 1, mismatch and gap -0.5). The score is the best local
 alignment over the item's length: 1 for a full copy, about 0.6 where a quarter of the words were replaced.
 Passages of ``THRESHOLD`` or more are leaks.
@@ -100,13 +100,17 @@ class Items:
         return at[hit], k[hit]
 
     def keep_rare(self, counts: dict[int, int]) -> None:
-        """Leave each item the rarer half of its sequences by their counts over the corpus."""
+        """Leave each item the rarer half of its sequences by their counts over the corpus.
+
+        Sequences that the corpus lacks find nothing and take no place among them.
+        """
         n = np.array([counts.get(k, 0) for k in range(len(self.known))], np.int64)
         of = np.repeat(np.arange(len(self.known)), self.end - self.begin)
         order = np.lexsort((self.place, n[of], self.item))
+        order = order[n[of][order] > 0]
         item = self.item[order]
         rank = np.arange(len(order)) - np.searchsorted(item, item)
-        size = np.bincount(self.item, minlength=len(self.ids))
+        size = np.bincount(item, minlength=len(self.ids))
         rare = order[rank < np.maximum(size[item] // 2, LEAST_SEEDS)]
         self._set(self.seed[rare], self.item[rare], self.place[rare])
 

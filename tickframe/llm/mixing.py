@@ -33,6 +33,8 @@ SEED = 20240607
 #: Words that the dynamic program fits at most; a larger rest is first reduced by whole documents.
 DP_WORDS = 1 << 16
 RANGES_BITS = 8
+#: Shortest lengths of which up to 3 documents go back to what the program fits.
+GIVEN_BACK = 64
 
 
 def targets(sizes: list[tuple[str | None, int]], weights=WEIGHTS, share=SHARE, most=MAX_COPIES) -> dict[str | None, float]:
@@ -92,6 +94,8 @@ def fit(lengths: np.ndarray, counts: np.ndarray, target: float, dp_words: int =
     if budget <= 0:
         return passes, extra
     extra = np.floor(counts * (budget / total)).astype(np.int64)
+    short = np.flatnonzero(lengths > 0)[:GIVEN_BACK]  # lengths are sorted: room for the program to fit exactly
+    extra[short] -= np.minimum(extra[short], 3)
     rest = budget - int((extra * lengths).sum())
     for i in np.argsort(-lengths, kind="stable"):  # whole documents, longest first, down to what the program fits
         if rest <= dp_words:
