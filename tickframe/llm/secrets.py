@@ -43,6 +43,8 @@ RULES = (
     Rule("hex", r"[0-9a-f]{32,}", 32),  # a run is either long enough as a whole or dropped as a whole
 )
 SPANS = "array<struct<start:int,kind:int,end:int>>"
+#: Parts into which the rows of one content are dealt when findings go back; findings are copied to each.
+SALTS = 16
 
 
 def rule_version(rules: tuple[Rule, ...] = RULES) -> str:
@@ -97,9 +99,19 @@ def findings(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule
     known = scan_unseen(docs, ledger, rules, text_col)
     if ledger is not None:
         known = known.unionByName(ledger.where(F.col("rule_version") == version))
-    hits = known.where(F.size("spans") > 0).select("blob", "spans")
-    paths = docs.select(*path_cols, blob_id(F.col(text_col)).alias("blob"))
-    return paths.join(hits, "blob", "left").select(*path_cols, "blob", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
+    paths = docs.select(*path_cols, blob_id(F.col(text_col)).alias("blob"), salt_of(docs).alias("salt"))
+    return paths.join(salted_hits(known), ["blob", "salt"], "left").select(*path_cols, "blob", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
+
+
+def salt_of(docs: DataFrame) -> Column:
+    """A part for each row, by its columns other than texts."""
+    plain = [docs[f"`{c}`"] for c, kind in docs.dtypes if kind in ("bigint", "int")]
+    return F.pmod(F.xxhash64(*plain), F.lit(SALTS)).cast("int") if plain else F.lit(0)
+
+
+def salted_hits(known: DataFrame) -> DataFrame:
+    """Findings (of contents that have any), once for each part: paths of a common content meet them in SALTS tasks."""
+    return known.where(F.size("spans") > 0).select("blob", "spans", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
 
 
 def spans_text(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:
@@ -131,9 +143,10 @@ def redacted(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule
     known = scan_unseen(docs, ledger, rules, text_col)
     if ledger is not None:
         known = known.unionByName(ledger.where(F.col("rule_version") == version))
-    hits = known.where(F.size("spans") > 0).select("blob", "spans").alias("hits")
+    hits = salted_hits(known).alias("hits")
     rows = docs.alias("rows")
     text = F.col(f"rows.`{text_col}`")
     masked = F.when(F.col("hits.spans").isNotNull(), redact(text, F.col("hits.spans"), mask)).otherwise(text)
     columns = [masked.alias(c) if c == text_col else F.col(f"rows.`{c}`") for c in docs.columns]
-    return rows.join(hits, blob_id(text) == F.col("hits.blob"), "left").select(*columns)
+    same = (blob_id(text) == F.col("hits.blob")) & (salt_of(docs) == F.col("hits.salt"))
+    return rows.join(hits, same, "left").select(*columns)
