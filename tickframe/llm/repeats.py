@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from tickframe.llm.common import cut, mix, partitions, small_batches, span_hashes, text_blocks, window_hashes, word_bounds
 
-PER_PARTITION = 2
+PER_PARTITION = 8
 #: Bits that a place in a block takes in a sort key beside its hash; longer texts are cut into slices.
 PLACE_BITS = 22
 LARGEST = np.iinfo(np.int64).max
