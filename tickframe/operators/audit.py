@@ -57,8 +57,8 @@ def new_rows(batch: DataFrame, stored: DataFrame, key: str = "snapshot_id", cont
 
 def write_partitioned(df: DataFrame, root: str, partitions: list[str], sort: list[str], mode: str = "append", rows_per_file: int = 1_000_000) -> None:
     """zstd Parquet under partition folders. The partition columns' values stay in the rows under ``<name>`` too."""
-    copied = df.select("*", *(F.col(p).alias(f"p_{p}") for p in partitions))
     folders = [f"p_{p}" for p in partitions]
+    copied = df.drop(*folders).select("*", *(F.col(p).alias(f"p_{p}") for p in partitions))
     copied.repartition(*folders).sortWithinPartitions(*folders, *sort).write.mode(mode).partitionBy(*folders).option("compression", "zstd").option("maxRecordsPerFile", rows_per_file).parquet(root)
 
 

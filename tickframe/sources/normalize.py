@@ -30,7 +30,7 @@ def dec(c: Column) -> Column:
 
 
 def event(df: DataFrame, **values: Column) -> DataFrame:
-    types = {"us": "bigint", "recv_us": "bigint", "price": DEC, "quantity": "decimal(38,16)", "contracts": "decimal(38,18)", "quote_quantity": "decimal(38,18)", "rate": "decimal(38,18)", "bids": LEVELS, "asks": LEVELS}
+    types = {"us": "bigint", "recv_us": "bigint", "price": DEC, "quantity": "decimal(38,18)", "contracts": "decimal(38,18)", "quote_quantity": "decimal(38,18)", "rate": "decimal(38,18)", "bids": LEVELS, "asks": LEVELS}
     return df.select(*(values.get(c, F.lit(None)).cast(types.get(c, "string")).alias(c) for c in EVENT))
 
 

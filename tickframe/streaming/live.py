@@ -19,7 +19,7 @@ from tickframe.config import Config
 def hopping_trade_flow(trades: DataFrame, cfg: Config) -> DataFrame:
     """Sums of each (T - w, T] as the stream passes T by the allowed lateness: exchange, symbol, window, decision."""
     n, parts = F.col("notional"), None
-    held = trades.withWatermark("event_time", f"{cfg.lateness} microseconds").withColumn("shifted", F.col("event_time") - F.expr("interval 1 microsecond"))
+    held = trades.withColumn("shifted", F.col("event_time") - F.expr("interval 1 microsecond")).withWatermark("shifted", f"{cfg.lateness} microseconds")
     for w in cfg.windows:
         win = F.window("shifted", f"{w} microseconds", f"{cfg.tick} microseconds")
         one = held.groupBy("exchange", "symbol", win.alias("win")).agg(F.sum(F.when(F.col("side") == "BUY", n).otherwise(0.0)).alias("buy"), F.sum(F.when(F.col("side") == "SELL", n).otherwise(0.0)).alias("sell"), F.count(F.lit(1)).alias("trades"))
