@@ -27,14 +27,18 @@ from tickframe.llm.common import mix, text_blocks, window_hashes
 
 WINDOW, GRAM = 20, 6
 AUTOMATON_WORDS = 60_000
-#: Code points for words: from here up, past the surrogates.
+#: Code points for words: from here up, past the surrogates; how many there are.
 FIRST_CHAR, SURROGATES, N_SURROGATES = 0x100, 0xD800, 0x800
+CHARACTERS = 0x110000 - FIRST_CHAR - N_SURROGATES
 
 
 def as_characters(values: np.ndarray, first: np.ndarray) -> str:
-    """One character for each word and a separator (a character no word has) after each row."""
+    """One character for each word and a separator (a character no word has) after each row.
+
+    Only beyond ``CHARACTERS`` distinct words do some share one; ``resolve_part`` compares words in any case.
+    """
     _, code = np.unique(values, return_inverse=True)
-    code = code + FIRST_CHAR
+    code = code % CHARACTERS + FIRST_CHAR
     code = np.where(code >= SURROGATES, code + N_SURROGATES, code)
     return np.insert(code, first[1:], 1).astype("<u4").tobytes().decode("utf-32-le")
 
@@ -71,16 +75,23 @@ def resolve_part(block: repeats.Block, window: int) -> tuple[np.ndarray, np.ndar
     text = as_characters(block.values, block.first)
     shift = np.searchsorted(block.first[1:], lo, side="right")  # separators before the place
     automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-    size = []
-    for a, b in zip((lo + shift).tolist(), (hi + shift).tolist(), strict=True):
+    size, origin = [], []
+    for a, b, first in zip((lo + shift).tolist(), (hi + shift).tolist(), lo.tolist(), strict=True):
         passage = text[a:b]
         if not automaton.exists(passage):
             automaton.add_word(passage, len(size))
             size.append(b - a)
+            origin.append(first)
     automaton.make_automaton()
     hits = np.array(list(automaton.iter(text)), np.int64).reshape(-1, 2)
     which, size = hits[:, 1], np.array(size, np.int64)
     begin = hits[:, 0] + 1 - size[which]
+    # the words at a hit are the passage's words: their first and last windows have equal hashes
+    h = window_hashes(block.values, window)
+    word = begin - np.searchsorted(block.first[1:] + np.arange(len(block.first) - 1), begin, side="right")
+    start, tail = np.array(origin)[which], size[which] - window
+    same = (h[word] == h[start]) & (h[word + tail] == h[start + tail])
+    which, begin = which[same], begin[same]
     order = np.lexsort((begin, which))
     which, begin = which[order], begin[order]
     later = np.concatenate([[False], which[1:] == which[:-1]])  # rows are in document order

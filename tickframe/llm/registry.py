@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickframe.llm import chat, decontaminate, langid, mixing, phrases, pii, secrets, simhash, suffixes, vectors
+from tickframe.llm import chat, decontaminate, langid, mixing, oracle, phrases, pii, secrets, simhash, suffixes, vectors
 from tickframe.llm.common import table
 
 
@@ -78,4 +78,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.ORACLES
