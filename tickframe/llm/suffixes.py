@@ -60,9 +60,10 @@ class RunLengthIndex:
         depth = min(FIRST_DEPTH, window)
         key = np.zeros(n, np.int64)
         at = np.arange(n)
-        for k in range(depth):
-            inside = at + k < own_mark
-            key = (key << 9) | np.where(inside, codes[np.minimum(at + k, n - 1)], 0)
+        ahead, left = np.concatenate([codes, np.zeros(depth, codes.dtype)]), own_mark - at
+        for k in range(depth):  # codes behind the own end mark don't count
+            key <<= 9
+            key |= ahead[k : k + n] * (left > k)
         rank = dense(key) + n_texts
         rank[mark] = np.arange(n_texts)
         kinds = None
@@ -82,13 +83,16 @@ class RunLengthIndex:
                 break
         sa = np.empty(n, np.int64)
         sa[rank] = at
+        before_text = np.zeros(n, bool)
+        before_text[self.begin] = True
         bwt = codes[sa - 1]
-        bwt[np.isin(sa, self.begin)] = 0
+        bwt[before_text[sa]] = 0
         self.run_row = np.flatnonzero(np.concatenate([[True], bwt[1:] != bwt[:-1]])) if n else np.zeros(0, np.int64)
         self.run_code = bwt[self.run_row].astype(np.int64)
         size = np.diff(np.append(self.run_row, n))
         self.top, self.bottom = sa[self.run_row], sa[self.run_row + size - 1]  # samples at both ends
         self.last_row = self.run_row + size - 1
+        self.run_of = np.repeat(np.arange(len(size), dtype=np.int32), size)  # rank directory: the run of each row
         # LF: rows of suffixes that begin with smaller codes, and equal codes in earlier runs
         smaller = np.concatenate([[0], np.cumsum(np.bincount(codes, minlength=257))])
         order = np.argsort(self.run_code, kind="stable")
@@ -132,7 +136,7 @@ class RunLengthIndex:
             at = ends[:n] - 1 - step
             code = data[at].astype(np.int64) + 1
             row, p = q[:n], pos[:n]
-            run = np.searchsorted(self.run_row, row, side="right") - 1
+            run = self.run_of[row].astype(np.int64)
             off_track = np.flatnonzero(self.run_code[run] != code)
             if len(off_track):
                 want = code[off_track] * runs + run[off_track]
