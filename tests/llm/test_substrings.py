@@ -71,15 +71,33 @@ def test_empty_table(spark, operator):
     assert operator(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
-def test_long_texts_are_cut_into_slices(monkeypatch):
+def test_stretches_depend_on_the_row_alone(monkeypatch):
+    """Neither slices nor the other rows of a block change a row's stretches: both passes number them alike."""
     rng = np.random.default_rng(0)
-    values = rng.integers(0, 40, 5000).astype(np.uint64)
-    block = repeats.Block(values, np.array([0, 1800, 1800, 5000]), None, None, None)
-    monkeypatch.setattr(repeats, "PLACE_BITS", 10)
-    row, h, lo, hi, at = repeats.anchors(block, 20, 6)
+    values = np.concatenate([rng.integers(0, 40, 3000), np.zeros(900, int), np.tile(rng.integers(0, 9, 7), 200)]).astype(np.uint64)
+    first = np.array([0, 1700, 1700, 2500, 4100, len(values)])
+    whole = repeats.anchors(repeats.Block(values, first, None, None, None), 20, 6)
+    for bits in (6, 8, 10):
+        monkeypatch.setattr(repeats, "PLACE_BITS", bits)
+        cut = repeats.anchors(repeats.Block(values, first, None, None, None), 20, 6)
+        assert all(np.array_equal(x, y) for x, y in zip(whole, cut))
+    row, h, lo, hi, at = whole
     windows = np.concatenate([np.arange(a, b + 1) for a, b in zip(lo, hi)])
-    assert np.array_equal(windows, np.concatenate([np.arange(0, 1781), np.arange(1800, 4981)]))
-    assert ((lo <= at) & (at <= hi + 14) & (hi <= at)).all() or ((at >= hi) & (at <= lo + 14)).all()
+    assert np.array_equal(windows, np.concatenate([np.arange(a, b - 19) for a, b in zip(first[:-1], first[1:]) if b - a >= 20]))
+    assert ((hi <= at) & (at <= lo + 14)).all()
+    for r in (0, 2, 3, 4):
+        alone = repeats.anchors(repeats.Block(values[first[r] : first[r + 1]], np.array([0, first[r + 1] - first[r]]), None, None, None), 20, 6)
+        mine = row == r
+        assert np.array_equal(h[mine], alone[1]) and all(np.array_equal(x[mine] - first[r], y) for x, y in zip((lo, hi, at), alone[2:]))
+
+
+def test_results_do_not_depend_on_blocks(spark, monkeypatch):
+    rows = corpus(3)
+    docs = spark.createDataFrame(rows, SCHEMA)
+    want = by_bytes(rows)
+    for parts in (1, 5):
+        got = {r[0]: tuple(r)[1:] for r in suffixes.deduplicate(docs.repartition(parts)).collect()}
+        assert got == want
 
 
 def test_index_finds_first_occurrences():

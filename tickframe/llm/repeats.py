@@ -118,6 +118,10 @@ def anchors(block: Block, window: int, gram: int) -> tuple[np.ndarray, np.ndarra
         e = np.zeros(0, np.int64)
         return e, e.astype(np.uint64), e, e, e
     h, a, b, p = (np.concatenate(x) for x in zip(*parts, strict=True))
+    # a stretch that a slice's end cut is one again: what a row's stretches are depends on the row alone
+    heads = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
+    tails = np.append(heads[1:], len(p)) - 1
+    h, a, b, p = h[heads], a[heads], b[tails], p[heads]
     return np.searchsorted(block.first, a, side="right") - 1, h, a, b, p
 
 
