@@ -27,8 +27,8 @@ class Golden(features.Inputs):
         self.liquidations = make(liquidations, "position string, notional double")
         self.levels = make(levels, "side string, price double, qty double")
         self.keys = spark.createDataFrame([(venue, "BTC-USDT-PERP")], "exchange string, symbol string")
-        ticks = spark.range(T - 20, T + 1).select(F.col("id").alias("tick_no"))
-        self.grid = ticks.crossJoin(self.keys).withColumn("window_ticks", F.lit(5))
+        self.spine = spark.range(T - 20, T + 1).select(F.col("id").alias("tick_no"))
+        self.grid = self.spine.crossJoin(self.keys).withColumn("window_ticks", F.lit(5))
 
 
 @pytest.fixture(scope="module")

@@ -27,7 +27,8 @@ class Inputs:
         self.levels = TL.accepted(market.levels(view))
         keys = spark.createDataFrame([(e, s) for e in (market.VENUE_A, market.VENUE_B) for s in market.SYMBOLS], "exchange string, symbol string")
         self.keys = keys
-        self.grid = TL.grid(view, cfg, keys)
+        self.spine = TL.known_spine(view, cfg)
+        self.grid = TL.grid(self.spine, cfg, keys)
 
     def prices(self) -> DataFrame:
         """Trades and marks as one stream of prices, late ones of the joint stream dropped again."""
@@ -35,7 +36,8 @@ class Inputs:
         return TL.accepted(one)
 
     def ticks(self) -> DataFrame:
-        return self.grid.select(*KEYS, "tick_no").distinct()
+        """Every key and decision."""
+        return self.spine.crossJoin(F.broadcast(self.keys)).select(*KEYS, "tick_no")
 
 
 def trade_flow(i: Inputs) -> DataFrame:

@@ -74,10 +74,17 @@ def decision_ticks(events: DataFrame, cfg: Config) -> DataFrame:
     return both.select((F.col("tick_no") * cfg.tick).alias("decision_us"), "kind", "rank")
 
 
-def grid(events: DataFrame, cfg: Config, keys: DataFrame) -> DataFrame:
+def known_spine(events: DataFrame, cfg: Config) -> DataFrame:
+    """The spine as a range whose bounds (one row) are fetched now, so plans that use it often don't scan for them again."""
+    b = tick_bounds(events, cfg.tick).first()
+    lo, hi = (0, -1) if b is None else (b["first_tick"], max(b["first_tick"], b["last_tick"]))
+    return events.sparkSession.range(lo, hi + 1).select(F.col("id").alias("tick_no"))
+
+
+def grid(ticks: DataFrame, cfg: Config, keys: DataFrame) -> DataFrame:
     """Every key, window and decision, whether or not anything happened (constant rows for each tick)."""
     windows = F.explode(F.array(*(F.lit(cfg.ticks(w)) for w in cfg.windows))).alias("window_ticks")
-    return spine(events, cfg).crossJoin(F.broadcast(keys)).select("*", windows)
+    return ticks.crossJoin(F.broadcast(keys)).select("*", windows)
 
 
 def window_aggregate(events: DataFrame, cfg: Config, windows: list[int], sums: dict[str, Column] | None = None, mins: dict[str, Column] | None = None, maxs: dict[str, Column] | None = None, keys: list[str] = KEYS, previous: bool = False) -> DataFrame:
@@ -97,7 +104,7 @@ def window_aggregate(events: DataFrame, cfg: Config, windows: list[int], sums: d
 
 
 def as_of(events: DataFrame, ticks: DataFrame, cfg: Config, payload: list[str], keys: list[str] = KEYS, lag_ticks: int = 0) -> DataFrame:
-    """For each row of ``ticks`` (keys, tick_no): the latest event with us <= T - lag that T sees.
+    """For each row of ``ticks`` (keys, tick_no; each once): the latest event with us <= T - lag that T sees.
 
     Events enter at their slot; one running maximum of (us, ord, payload) for each key over slots and
     ticks in order finds the latest, so no pair of event and tick is ever formed.
@@ -106,7 +113,7 @@ def as_of(events: DataFrame, ticks: DataFrame, cfg: Config, payload: list[str],
     top = F.max(F.struct("us", "ord", *payload)).alias("found")
     entering = with_slots(events, cfg.tick).withColumn("tick_no", enters).groupBy(*keys, "tick_no").agg(top)
     kind = entering.schema["found"].dataType
-    asked = ticks.select(*keys, "tick_no").distinct().withColumn("found", F.lit(None).cast(kind)).withColumn("asked", F.lit(1))
+    asked = ticks.select(*keys, "tick_no").withColumn("found", F.lit(None).cast(kind)).withColumn("asked", F.lit(1))
     order = Window.partitionBy(*keys).orderBy("tick_no").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     both = entering.withColumn("asked", F.lit(0)).unionByName(asked)
     return both.withColumn("found", F.max("found").over(order)).where("asked = 1").select(*keys, "tick_no", F.col("found.us").alias("us"), *(F.col(f"found.{p}").alias(p) for p in payload))
