@@ -66,6 +66,16 @@ def test_repeated_and_missing_ids(spark, operator):
     assert sum(g[3] > 0 for g in gone) == 1  # the one without an id comes later
 
 
+def test_very_long_texts(spark):
+    """Texts longer than a slice, one repeated within another, and a periodic one."""
+    rng = random.Random(7)
+    long = " ".join(f"w{rng.randrange(5000)}" for _ in range(30_000))
+    rows = [(2, long[50_000:90_000] + " tail"), (1, long), (3, "ab " * 60_000), (4, "x y " + long[-30_000:])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r[0]: tuple(r)[1:] for r in suffixes.deduplicate(docs).collect()} == by_bytes(rows)
+    assert {r[0]: tuple(r)[1:] for r in phrases.deduplicate(docs).collect()} == by_words(rows)
+
+
 @pytest.mark.parametrize("operator", [phrases.deduplicate, suffixes.deduplicate])
 def test_empty_table(spark, operator):
     assert operator(spark.createDataFrame([], "doc_id long, text string")).collect() == []
