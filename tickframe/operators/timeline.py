@@ -143,6 +143,12 @@ def latest_per_key(events: DataFrame, keys: list[str], order: list[str]) -> Data
     return events.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("row")).select(*keys, "row.*")
 
 
+def fresh(events: DataFrame, id_cols: list[str], ttl: int) -> DataFrame:
+    """First of each id within its lifetime, which every sight of the id renews (in ingest order)."""
+    last = F.lag("recv_us").over(Window.partitionBy(*id_cols).orderBy("recv_us", "ord"))
+    return events.withColumn("last_us", last).where(F.col("last_us").isNull() | (F.col("recv_us") - F.col("last_us") > ttl)).drop("last_us")
+
+
 def replay_order(records: DataFrame, mode: str = "RECEIVE_TIME") -> list[Column]:
     """Columns of the total replay order: metadata first, the end marker last, sequences as text."""
     at = F.coalesce("exchange_timestamp", "local_receive_timestamp") if mode == "EVENT_TIME" else F.col("local_receive_timestamp")

@@ -306,6 +306,17 @@ def lateness(spark, d):
 also("flt_05_lateness", "str_07_lateness_policy")
 
 
+@query("str_08_ttl_dedup", sql(f"SELECT exchange, symbol, k, ord FROM (SELECT *, lag(recv_us) OVER (PARTITION BY exchange, symbol, k ORDER BY recv_us, ord) AS p FROM view0) WHERE p IS NULL OR recv_us - p > {24 * HOUR}", "market"))
+def ttl_dedup(spark, d):
+    return TL.fresh(view(spark, d), ["exchange", "symbol", "k"], 24 * HOUR).select("exchange", "symbol", "k", "ord")
+
+
+@query("str_12_replay_clock", sql("SELECT count(*) AS decisions, 0::BIGINT AS backwards FROM ticks", "ticks"))
+def clock(spark, d):
+    t = TL.spine(view(spark, d), DEMO).withColumn("before", F.lag("tick_no").over(Window.orderBy("tick_no")))
+    return t.agg(F.count(F.lit(1)).alias("decisions"), F.count(F.when(F.col("before") >= F.col("tick_no"), 1)).alias("backwards"))
+
+
 @query("win_13_running_max", sql(f"SELECT ord, max(us) OVER (PARTITION BY {_STREAM} ORDER BY recv_us, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS high_us FROM view0", "market"))
 def running_max(spark, d):
     w = Window.partitionBy("exchange", "symbol", "event_type").orderBy("recv_us", "ord").rowsBetween(Window.unboundedPreceding, -1)
