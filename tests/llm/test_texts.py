@@ -40,6 +40,32 @@ def test_leaks(spark):
     assert all((r["score"] == 1) == (r["doc_id"] % 2 == 0) for r in got)
 
 
+def test_an_exact_copy_does_not_hide_an_edited_one(spark):
+    rng = random.Random(6)
+    item = [f"{chr(97 + k % 26)}{'xyz'[k % 3]}{chr(97 + k // 26)}{word}" for k, word in enumerate(re.findall("[a-z]+", prose(rng, 60))[:40])]
+    edited = ["qqq" if k % 4 == 3 else w for k, w in enumerate(item)]
+    docs = [(1, " ".join(item)), (2, prose(rng, 50) + " " + " ".join(edited) + " " + prose(rng, 50)), (3, prose(rng, 90))]
+    bench = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    for copies in (0, 1, 5):
+        rows = [*docs[1:], *((10 + k, docs[0][1]) for k in range(copies))]
+        got = decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
+        assert {r["doc_id"] for r in got} == {2, *range(10, 10 + copies)}
+
+
+def test_places_in_slices_are_the_same(monkeypatch):
+    rng = random.Random(8)
+    words = lambda n: " ".join(rng.choice("abcd") for _ in range(n))
+    items = decontaminate.Items(list(range(20)), [words(12) for _ in range(20)])
+    texts = [words(40).encode() for _ in range(30)]
+    h, first = decontaminate.words_of(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+    want = decontaminate.passages(items, h, first)
+    monkeypatch.setattr(decontaminate, "PLACES", 7)
+    assert all((a == b).all() for a, b in zip(want, decontaminate.passages(items, h, first)))
+    near = decontaminate.within_reach(items, h, *want[1:], decontaminate.THRESHOLD)
+    scores = decontaminate.align([items.words[k] for k in want[1]], [h[x:y] for x, y in zip(*want[2:])])
+    assert not (scores[~near] >= decontaminate.THRESHOLD).any()
+
+
 def test_alignment_equals_plain_dynamic_program():
     rng = np.random.default_rng(1)
     pairs = [(rng.integers(2, 7, rng.integers(1, 12)).astype(np.uint64), rng.integers(2, 7, rng.integers(0, 30)).astype(np.uint64)) for _ in range(60)]

@@ -1,16 +1,16 @@
-"""Benchmark decontamination: rare n-gram seeds find passages, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: n-gram seeds find passages, Smith-Waterman alignment scores them.
 
-Words are runs of letters in lower case (any script), so punctuation and decoration do not matter. All 3-word sequences
-of the test items are counted over the whole corpus; of each item's sequences that occur there, the rarer
-half (8 at least) are its seeds. A seed in a document marks a passage around the place where the whole item would lie, and
+Words are runs of letters in lower case (any script), so punctuation and decoration do not matter. Every 3-word
+sequence of a test item is a seed, however common it is: leaking copies make a sequence common, so counts
+tell nothing about which ones an edited copy has kept. A seed in a document marks a passage around the place where the whole item would lie, and
 item and passage are aligned word by word (match 1, mismatch and gap -0.5). The score is the best local
 alignment over the item's length: 1 for a full copy, about 0.6 where a quarter of the words were replaced.
 Passages of ``THRESHOLD`` or more are leaks.
 
-Seeds are ranked within an item, not cut at a fixed count, so an item that a third of all documents hold
-still has seeds.
+A score is at most the share of the item's words that the passage has anywhere, so passages below the
+threshold by that share are not aligned; none of them could reach it.
 
-Scale: two narrow scans; no document is shuffled. What reaches the executors is the benchmark, in portions
+Scale: one narrow scan; no document is shuffled. What reaches the executors is the benchmark, in portions
 of ``PORTION_BYTES`` of item text: a larger benchmark is scanned in several portions, each within the bound.
 
 Defined cases: a null text is empty and leaks nothing; an item with fewer than 3 words (or a null one) has
@@ -33,13 +33,14 @@ from pyspark.sql import functions as F
 from tickframe.llm.common import small_batches, span_hashes, text_blocks, window_hashes, word_bounds
 
 GRAM = 3
-LEAST_SEEDS = 8
 THRESHOLD = 0.5
 MATCH, MISS, GAP = 1.0, -0.5, -0.5
 #: Item text that one scan carries to the executors.
 PORTION_BYTES = 16 << 20
 #: Cells of one row of the alignment matrices that are computed together.
 CELLS = 1 << 20
+#: Places of seeds that are looked at together.
+PLACES = 1 << 20
 
 FOLD = np.full(256, 0x20, np.uint8)
 FOLD[ord("a") : ord("z") + 1] = np.arange(ord("a"), ord("z") + 1)
@@ -99,21 +100,6 @@ class Items:
         hit = self.known[k] == g[at]
         return at[hit], k[hit]
 
-    def keep_rare(self, counts: dict[int, int]) -> None:
-        """Leave each item the rarer half of its sequences by their counts over the corpus.
-
-        Sequences that the corpus lacks find nothing and take no place among them.
-        """
-        n = np.array([counts.get(k, 0) for k in range(len(self.known))], np.int64)
-        of = np.repeat(np.arange(len(self.known)), self.end - self.begin)
-        order = np.lexsort((self.place, n[of], self.item))
-        order = order[n[of][order] > 0]
-        item = self.item[order]
-        rank = np.arange(len(order)) - np.searchsorted(item, item)
-        size = np.bincount(item, minlength=len(self.ids))
-        rare = order[rank < np.maximum(size[item] // 2, LEAST_SEEDS)]
-        self._set(self.seed[rare], self.item[rare], self.place[rare])
-
 
 def align(items: list[np.ndarray], passages: list[np.ndarray]) -> np.ndarray:
     """Best local alignment score of each pair, over the item's length."""
@@ -148,23 +134,46 @@ def align(items: list[np.ndarray], passages: list[np.ndarray]) -> np.ndarray:
 
 def passages(items: Items, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Row, item, and word range of each passage that a seed points to (one for each row, item and stretch)."""
-    at, k = items.find(*grams_of(h, first))
-    many = items.end[k] - items.begin[k]
-    at = np.repeat(at, many)
-    which = np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(items.begin[k], many)
-    item = items.item[which].astype(np.int64)
-    row = np.searchsorted(first, at, side="right") - 1
-    size = np.array([len(w) for w in items.words], np.int64)[item] if len(item) else item
-    start = at - first[row] - items.place[which]
-    tile = np.floor_divide(start, np.maximum(size, 1))
-    unique = np.unique(np.stack([row, item, tile, size]), axis=1) if len(at) else np.zeros((4, 0), np.int64)
-    row, item, tile, size = unique
+    hits, seeds = items.find(*grams_of(h, first))
+    sizes = np.array([len(w) for w in items.words], np.int64)
+    upto = np.cumsum(items.end[seeds] - items.begin[seeds])
+    found, i = np.zeros((3, 0), np.int64), 0
+    while i < len(hits):  # a common sequence of many items makes many places: PLACES at a time (or one hit)
+        j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + PLACES, side="right")))
+        k = seeds[i:j]
+        many = items.end[k] - items.begin[k]
+        at = np.repeat(hits[i:j], many)
+        which = np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(items.begin[k], many)
+        item = items.item[which].astype(np.int64)
+        row = np.searchsorted(first, at, side="right") - 1
+        tile = np.floor_divide(at - first[row] - items.place[which], sizes[item])
+        found = _distinct(np.concatenate([found, np.stack([row, item, tile])], axis=1))
+        i = j
+    row, item, tile = found
+    size = sizes[item]
     slack = np.maximum(5, size // 4)
     low = np.maximum(first[row] + tile * size - slack, first[row])
     high = np.minimum(first[row] + (tile + 2) * size + slack, first[row + 1])
     return row, item, low, high
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """The distinct columns, in order of the first row, then the second and so on."""
+    x = x[:, np.lexsort(x[::-1])]
+    return x[:, np.append(True, (x[:, 1:] != x[:, :-1]).any(axis=0))[: x.shape[1]]]
+
+
+def within_reach(items: Items, h: np.ndarray, item: np.ndarray, low: np.ndarray, high: np.ndarray, threshold: float) -> np.ndarray:
+    """Which passages have so many of their item's words that an alignment could reach the threshold."""
+    out = np.zeros(len(item), bool)
+    for i, (k, x, y) in enumerate(zip(item.tolist(), low.tolist(), high.tolist(), strict=True)):
+        words, have = items.words[k], np.sort(h[x:y])
+        at = np.searchsorted(have, words)
+        at[at == len(have)] = 0
+        out[i] = np.count_nonzero(have[at] == words) >= threshold * len(words)
+    return out
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col="text", item_col="item_id", item_text_col="text", threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, item_id (the best), score, n_items for every document that holds a leak."""
     spark = docs.sparkSession
@@ -182,24 +191,14 @@ def _portion(texts: DataFrame, bench: DataFrame, threshold: float) -> DataFrame:
     rows = sorted((-1 if r["item_id"] is None else r["item_id"], r["text"]) for r in bench.collect())
     items = Items([i for i, _ in rows], [t for _, t in rows])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(items.known), np.int64)
-        for b in batches:
-            for _, _, buf, off in text_blocks(pc.utf8_lower(b["text"])):
-                _, k = items.find(*grams_of(*words_of(buf, off)))
-                total += np.bincount(k, minlength=len(total))
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["seed", "n"])
-
-    counts = texts.select("text").mapInArrow(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
-    items.keep_rare({r["seed"]: r["n"] for r in counts.collect()})
-
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, which, scores = [], [], []
             for i, _, buf, off in text_blocks(pc.utf8_lower(b["text"])):
                 h, first = words_of(buf, off)
                 row, item, low, high = passages(items, h, first)
+                near = within_reach(items, h, item, low, high, threshold)
+                row, item, low, high = row[near], item[near], low[near], high[near]
                 s = align([items.words[k] for k in item], [h[x:y] for x, y in zip(low, high, strict=True)])
                 ok = s >= threshold
                 ids.append(row[ok] + i)
