@@ -5,13 +5,14 @@ written as Parquet and read again as the next one's ``docs``. All but the last r
 ``documents``. Every stage works on all rows that its predecessor kept:
 
 1. documents whose language can't be told (no letter, or no text) go;
-2. of each near-duplicate group the document with the smallest id stays;
+2. of each near-duplicate group the row with the smallest id stays;
 3. documents that hold a benchmark item go;
 4. secrets are replaced by a mask, the documents stay;
 5. documents that the mix takes come out with how often (``copies``) and with how many words (``taken``).
 
-Rows whose doc_id is null are kept by stages 1 and 4, stand for their group only if it has no other id
-(stage 2), and go together if one of them leaks (stage 3). Columns beside those of ``documents`` are kept.
+Every stage decides by row: where ids are null or repeat, stages 2 and 3 number the rows first. A row whose
+doc_id is null stands for its near-duplicate group only if that has no other id; among equal ids the row with the
+smallest content hash does. Columns beside those of ``documents`` are kept.
 """
 
 from __future__ import annotations
@@ -28,23 +29,40 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.recognised(docs, langid.train(docs))
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The rows with a column that names each of them, and its name: doc_id if that does, else a number.
+
+    Numbers are written down with the rows, so that a second reading can't give others.
+    """
+    if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return docs, "doc_id"
+    name = "row_number"
+    while name.lower() in (c.lower() for c in docs.columns):
+        name += "_"
+    return cut(docs.withColumn(name, F.monotonically_increasing_id())), name
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the first document of every near-duplicate group."""
-    groups = cut(simhash.near_duplicates(docs))
-    first = groups.where("doc_id = component_id or component_id is null").select(F.col("doc_id").alias("first_id")).distinct()
-    kept = docs.join(first, docs["doc_id"].eqNullSafe(first["first_id"]), "left_semi")
-    if groups.groupBy("doc_id").count().where("count > 1").isEmpty():
-        return kept
-    # ids that repeat: one row of each, the one with the smallest content hash
-    columns = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
-    one = kept.groupBy("doc_id").agg(F.min_by(columns, F.struct(F.xxhash64("text"), F.xxhash64(columns))).alias("row"))
-    return one.select("row.*")
+    """Keep the first row of every near-duplicate group."""
+    rows, key = numbered(docs)
+    groups = cut(simhash.near_duplicates(rows, id_col=key))
+    if key == "doc_id":
+        first = groups.where("doc_id = component_id or component_id is null").select(F.col("doc_id").alias("first_id"))
+    else:
+        columns = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+        order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), F.xxhash64(columns), key)
+        ranks = rows.select(F.col(key).alias("member_id"), order.alias("place"))
+        placed = groups.join(ranks, F.col("doc_id") == F.col("member_id"))
+        first = placed.groupBy("component_id").agg(F.min_by("doc_id", "place").alias("first_id"))
+    first = first.select("first_id")
+    return rows.join(first, rows[key].eqNullSafe(first["first_id"]), "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a benchmark item."""
-    leaks = decontaminate.leaks(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("leak_id"))
-    return docs.join(leaks, docs["doc_id"].eqNullSafe(leaks["leak_id"]), "left_anti")
+    rows, key = numbered(docs)
+    leaks = decontaminate.leaks(rows, table(spark, sf_dir, "benchmark"), id_col=key).select(F.col("doc_id").alias("leak_id"))
+    return rows.join(leaks, rows[key].eqNullSafe(leaks["leak_id"]), "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -121,3 +121,22 @@ def test_pipeline_masks_secrets(spark, tables):
     docs = spark.read.parquet(f"{path}/documents.parquet")
     text = corpus_pipeline.secret_scan(spark, docs, path).where("doc_id = 30").first()["text"]
     assert text.endswith("[REDACTED]")
+
+
+def test_pipeline_keeps_rows_with_null_or_repeated_ids(spark, tmp_path):
+    rng = random.Random(31)
+    text = [prose(rng, 90) for _ in range(9)]
+    item = prose(rng, 40)
+    leak = text[8] + " " + item
+    rows = [(1, text[0]), (2, text[0]), (None, text[0]), (None, text[1]), (None, text[1]), (None, text[2]), (None, leak)]  # null ids: texts 1 and 2 are nobody else's
+    rows += [(5, text[3]), (5, text[4]), (4, text[4]), (7, text[5]), (7, text[5]), (9, leak), (9, text[6])]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long, row_number int")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for parts in (1, 5):
+        kept = corpus_pipeline.near_duplicates(spark, docs.repartition(parts), str(tmp_path))
+        assert kept.columns == docs.columns
+        got = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str)
+        assert got == sorted([(1, text[0]), (None, text[1]), (None, text[2]), (5, text[3]), (4, text[4]), (7, text[5]), (9, leak), (9, text[6])], key=str)
+        clean = corpus_pipeline.decontamination(spark, docs.repartition(parts), str(tmp_path))
+        assert clean.columns == docs.columns
+        assert sorted(r["row_number"] for r in clean.collect()) == [k for k, (_, t) in enumerate(rows) if t != leak]
