@@ -324,6 +324,30 @@ def test_knapsack_equals_search():
         assert sum(g * x for g, x in zip(got, lengths)) == max(s for s in sums if s <= budget)
 
 
+def test_fit_of_very_long_documents(monkeypatch):
+    def taken(lengths, counts, target):
+        lengths, counts = np.array(lengths), np.array(counts)
+        passes, extra = mixing.fit(lengths, counts, target)
+        assert ((extra >= 0) & (extra <= counts)).all()
+        return int((lengths * (passes * counts + extra)).sum())
+
+    assert taken([80_000], [10], 1_200_000) == 1_200_000
+    assert taken([95_000], [2], 285_000) == 285_000
+    assert taken([70_000, 100_000, 130_000], [2, 1, 2], 500_000 + 200_000) == 700_000
+    assert taken([66_001, 150_007, 170_013], [1, 1, 1], 386_021 + 216_008) == 386_021 + 216_008  # the longest first would leave 45,995
+    rng = random.Random(14)
+    for _ in range(30):
+        lengths = sorted(rng.sample(range(33_000, 200_000), rng.randrange(1, 5)))
+        counts = [rng.randrange(1, 4) for _ in lengths]
+        total = sum(x * c for x, c in zip(lengths, counts))
+        budget, sums = rng.randrange(1, total), {0}
+        for x, c in zip(lengths, counts):
+            sums = {s + k * x for s in sums for k in range(c + 1)}
+        assert taken(lengths, counts, total + budget) - total == max(s for s in sums if s <= budget)
+    monkeypatch.setattr(mixing, "DP_BITS", 0)  # no program: whole documents while one fits
+    assert taken([80_000], [10], 1_200_000) == 1_200_000 and taken([95_000], [2], 285_000) == 285_000
+
+
 def test_registry_names():
     names = list(registry.queries())
     assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11))

@@ -3,6 +3,8 @@
 Every source gets a target number of words. Whole passes over the source are taken first; the budget that
 remains is fitted on the histogram of exact document sizes: a proportional part of each size, then a
 bounded-knapsack dynamic program on what is left, which says how many more documents of each size to take.
+Where few documents are left, all of them longer than what the program fits, it runs over the whole rest in units
+of the lengths' greatest common divisor; where that is too large as well, documents are taken while one fits.
 Which ones they are follows from a seeded hash of the document id, so reruns and other partitionings agree.
 
 Defined cases: a null text has size 0; a null source is a source of its own, last in order; documents of
@@ -32,6 +34,8 @@ MAX_COPIES = 2
 SEED = 20240607
 #: Words that the dynamic program fits at most; a larger rest is first reduced by whole documents.
 DP_WORDS = 1 << 16
+#: Bits of all states of a program over a larger rest, for sources whose documents are too long for that.
+DP_BITS = 1 << 29
 RANGES_BITS = 8
 #: Shortest lengths of which up to 3 documents go back to what the program fits.
 GIVEN_BACK = 64
@@ -97,18 +101,43 @@ def fit(lengths: np.ndarray, counts: np.ndarray, target: float, dp_words: int =
     short = np.flatnonzero(lengths > 0)[:GIVEN_BACK]  # lengths are sorted: room for the program to fit exactly
     extra[short] -= np.minimum(extra[short], 3)
     rest = budget - int((extra * lengths).sum())
-    for i in np.argsort(-lengths, kind="stable"):  # whole documents, longest first, down to what the program fits
-        if rest <= dp_words:
-            break
-        if lengths[i] > 0:
-            more = min(int(counts[i] - extra[i]), max(0, rest - dp_words // 2) // int(lengths[i]))
-            extra[i] += more
-            rest -= more * int(lengths[i])
+    left = counts - extra
+    more = reduced(lengths, left, rest, dp_words)
+    if rest > dp_words and int((more * lengths).sum()) < rest:
+        whole = over_all(lengths, left, rest)
+        if whole is not None:
+            more = max(more, whole, key=lambda m: int((m * lengths).sum()))
+    return passes, extra + more
+
+
+def reduced(lengths: np.ndarray, counts: np.ndarray, rest: int, dp_words: int) -> np.ndarray:
+    """Documents of each length for ``rest`` words: longest first down to what the program fits, then the program."""
+    more = np.zeros(len(lengths), np.int64)
+    for keep in (dp_words // 2, 0):  # where all are too long to leave the program room: while one fits
+        for i in np.argsort(-lengths, kind="stable"):
+            if rest <= dp_words:
+                break
+            if lengths[i] > 0:
+                n = min(int(counts[i] - more[i]), max(0, rest - keep) // int(lengths[i]))
+                more[i] += n
+                rest -= n * int(lengths[i])
     if rest <= dp_words:
-        fits = np.flatnonzero((lengths > 0) & (lengths <= rest) & (counts > extra))
-        for i, more in zip(fits, knapsack([int(lengths[i]) for i in fits], [int(counts[i] - extra[i]) for i in fits], rest), strict=True):
-            extra[i] += more
-    return passes, extra
+        fits = np.flatnonzero((lengths > 0) & (lengths <= rest) & (counts > more))
+        for i, n in zip(fits, knapsack([int(lengths[i]) for i in fits], [int(counts[i] - more[i]) for i in fits], rest), strict=True):
+            more[i] += n
+    return more
+
+
+def over_all(lengths: np.ndarray, counts: np.ndarray, rest: int) -> np.ndarray | None:
+    """The best documents of each length for ``rest`` words, or None where the program would have too large states."""
+    fits = np.flatnonzero((lengths > 0) & (lengths <= rest) & (counts > 0))
+    most = np.minimum(counts[fits], rest // np.maximum(lengths[fits], 1))
+    unit = int(np.gcd.reduce(lengths[fits])) if len(fits) else 1
+    if sum(int(n).bit_length() for n in most) * (rest // unit) > DP_BITS:
+        return None
+    more = np.zeros(len(lengths), np.int64)
+    more[fits] = knapsack([int(x) // unit for x in lengths[fits]], [int(n) for n in most], rest // unit)
+    return more
 
 
 def mix(docs: DataFrame, *, id_col="doc_id", text_col="text", source_col="source", weights=WEIGHTS, share=SHARE, most=MAX_COPIES, seed=SEED) -> DataFrame:
