@@ -400,6 +400,15 @@ def feature_scan(spark, d):
 also("srt_04_feature_order", "src_04_feature_scan_ordered")
 
 
+@query("src_04_feature_scan_whole", sql("SELECT exchange, symbol, CAST(window_ticks AS BIGINT) AS window_ticks, tick_no, row_number() OVER (ORDER BY tick_no, symbol, window_ticks, exchange) AS place FROM grid", "grid"))
+def feature_scan_whole(spark, d):
+    g = FE.Inputs(spark, d, DEMO).grid
+    return g.select("exchange", "symbol", F.col("window_ticks").cast("long").alias("window_ticks"), "tick_no", F.row_number().over(Window.orderBy("tick_no", "symbol", "window_ticks", "exchange")).cast("long").alias("place"))
+
+
+also("srt_04_feature_order_whole", "src_04_feature_scan_whole")
+
+
 @query("win_07_history_reset", sql("SELECT exchange, symbol, segment, count(*) AS samples FROM (SELECT exchange, symbol, sum(CASE WHEN k % 7 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY exchange, symbol ORDER BY recv_us, ord) AS segment FROM view0 WHERE event_type = 'signup') GROUP BY ALL".replace("segment, count", "CAST(segment AS BIGINT) AS segment, count"), "market"))
 def history_reset(spark, d):
     """Segments of a stream between generation changes; histories are partitioned by them."""
