@@ -40,3 +40,14 @@ def test_feature_scan_reads_every_decision(spark, events, name):
     assert [key(r) for r in sorted(got, key=lambda r: r["place"])] == want
     assert [r["place"] for r in sorted(got, key=key)] == list(range(1, len(want) + 1))
     assert sorted(map(str, got)) == oracle(events, name)
+
+
+@pytest.mark.parametrize(("name", "mode"), [("srt_01_replay_order_whole", "receive"), ("srt_02_event_time_order_whole", "event")])
+def test_replay_order_mixes_channels(spark, events, name, mode):
+    records = tables.records(spark, events).collect()
+    at = lambda r: r["local_receive_timestamp"] if mode == "receive" else r["exchange_timestamp"]
+    records.sort(key=lambda r: (at(r), r["local_receive_timestamp"], r["connection_generation"], r["exchange"], r["symbol"], r["channel"], r["sequence_id"], r["record_id"]))
+    got = rows_of(spark, events, name)
+    assert [(r["record_id"], r["channel"]) for r in sorted(got, key=lambda r: r["place"])] == [(r["record_id"], r["channel"]) for r in records]
+    assert {r["channel"] for r in got} == {"books", "trades", "mark-price", "liquidation-orders"}
+    assert sorted(map(str, got)) == oracle(events, name)

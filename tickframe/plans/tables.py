@@ -96,6 +96,18 @@ for _name, _mode, _at in (("srt_01_replay_order", "RECEIVE_TIME", "recv_us"), ("
     query(_name, rsql(f"SELECT record_id, row_number() OVER (ORDER BY {_at}, recv_us, generation, exchange, symbol, channel, sequence_id, record_id) AS place FROM records WHERE channel = 'books'"))(_ordered(_mode))
 
 
+def _ordered_whole(mode: str) -> Query:
+    def run(spark, d):
+        df = records(spark, d)
+        return df.select("record_id", "channel", F.row_number().over(Window.orderBy(*TL.replay_order(df, mode))).cast("long").alias("place"))
+
+    return run
+
+
+for _name, _mode, _at in (("srt_01_replay_order_whole", "RECEIVE_TIME", "recv_us"), ("srt_02_event_time_order_whole", "EVENT_TIME", "coalesce(us, recv_us)")):
+    query(_name, rsql(f"SELECT record_id, channel, row_number() OVER (ORDER BY {_at}, recv_us, generation, exchange, symbol, channel, sequence_id, record_id) AS place FROM records"))(_ordered_whole(_mode))
+
+
 @query("src_03_has_channel", rsql("SELECT c AS channel, count(record_id) > 0 AS present FROM (VALUES ('books'), ('trades'), ('none')) w(c) LEFT JOIN records ON channel = c GROUP BY c"))
 def has_channel(spark, d):
     found = records(spark, d).select("channel").distinct().withColumn("there", F.lit(True))
