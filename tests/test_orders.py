@@ -15,7 +15,7 @@ START = datetime.datetime(2024, 1, 1)
 def events(spark, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("events"))
     kinds = ["click", "view", "error", "signup", "purchase"]
-    rows = [(i, START + datetime.timedelta(minutes=i // 2 * 40), i * 7 % 5, kinds[i % 5], float(i % 9), f'{{"k": {i * 3 % 20}}}') for i in range(160)]
+    rows = [(i, START + datetime.timedelta(minutes=i // 2 * 40), i * 7 % 11, kinds[i % 5], float(i % 9), f'{{"k": {i * 3 % 20}}}') for i in range(400)]
     spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{path}/events.parquet")
     return path
 

@@ -44,9 +44,18 @@ def aligned(pair: DataFrame, cfg: Config) -> DataFrame:
 
 
 def spread_zscore(p: DataFrame, cfg: Config) -> DataFrame:
-    """z of the percentage spread of mids against prior decisions strictly within the lookback."""
+    """z of the percentage spread of mids against prior decisions strictly within the lookback.
+
+    A new generation of either venue's book (``book_resets`` of the snapshots, if given) drops the history of the symbol.
+    """
     p = p.withColumn("pct_spread", S.symmetric_spread("a_mid_price", "b_mid_price"))
-    back = Window.partitionBy("symbol", "window_ticks").orderBy("tick_no").rangeBetween(-(cfg.ticks(cfg.lookback) - 1), -1)
+    by = ["symbol", "window_ticks"]
+    if {"a_book_resets", "b_book_resets"} <= set(p.columns):
+        upto = Window.partitionBy(*by).orderBy("tick_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        so_far = lambda v: F.coalesce(F.max(f"{v}_book_resets").over(upto), F.lit(0))
+        p = p.withColumn("segment", so_far("a") + so_far("b"))
+        by = [*by, "segment"]
+    back = Window.partitionBy(*by).orderBy("tick_no").rangeBetween(-(cfg.ticks(cfg.lookback) - 1), -1)
     v = F.col("pct_spread")
     n, lo, hi = F.count(v).over(back), F.min(v).over(back), F.max(v).over(back)
     z = F.when((n >= cfg.cross_min_samples) & (hi > lo), F.try_divide(v - F.avg(v).over(back), F.stddev_pop(v).over(back)))

@@ -15,7 +15,12 @@ CELL = [*KEYS, "window_ticks", "tick_no"]
 
 
 class Inputs:
-    """Accepted events of every stream, and the decision grid."""
+    """Accepted events of every stream, and the decision grid.
+
+    ``book_generations``, if set (keys, us, recv_us, ord, generation of book events): histories restart where it changes.
+    """
+
+    book_generations: DataFrame | None = None
 
     def __init__(self, spark, sf_dir: str, cfg: Config) -> None:
         self.cfg = cfg
@@ -208,13 +213,25 @@ Z_METRICS = ("taker_imbalance", "ofi", "return_value", "oi_change", "premium", "
 def metrics(i: Inputs) -> DataFrame:
     """All raw metrics of the grid in one wide table."""
     j = trade_flow(i).join(price(i), CELL).join(book_flow(i), CELL).join(open_interest(i), CELL).join(liquidation(i), CELL)
-    return j.join(premium(i), [*KEYS, "tick_no"], "left").join(book(i), [*KEYS, "tick_no"], "left")
+    return with_segments(i, j.join(premium(i), [*KEYS, "tick_no"], "left").join(book(i), [*KEYS, "tick_no"], "left"))
+
+
+def with_segments(i: Inputs, wide: DataFrame) -> DataFrame:
+    """segment and book_resets of every decision, where the book's generations are given."""
+    if i.book_generations is None:
+        return wide
+    return wide.join(TL.generation_resets(i.book_generations, i.grid.select(*KEYS, "tick_no").distinct(), i.cfg), [*KEYS, "tick_no"], "left")
+
+
+def history_keys(wide: DataFrame) -> list[str]:
+    """What the histories of the metrics are kept by: a new generation of the book drops them."""
+    return [*KEYS, "window_ticks", *(["segment"] if "segment" in wide.columns else [])]
 
 
 def with_zscores(wide: DataFrame, cfg: Config) -> DataFrame:
     """z-scores and warm flags of all metrics: the windows share one partitioning, so one shuffle serves all."""
     for m in Z_METRICS:
-        wide = TL.prior_zscore(wide, m, cfg.ticks(cfg.lookback), [*KEYS, "window_ticks"], f"{m}_z")
+        wide = TL.prior_zscore(wide, m, cfg.ticks(cfg.lookback), history_keys(wide), f"{m}_z")
     return wide
 
 

@@ -137,6 +137,22 @@ def prior_zscore(rows: DataFrame, value: str, lookback_ticks: int, keys: list[st
     return prior.withColumn(name, z).withColumn(f"{name}_warm", F.coalesce(z.isNotNull() & (p["t0"] <= F.col("tick_no") - lookback_ticks), F.lit(False))).drop("_stats", "_prior")
 
 
+def generation_resets(book: DataFrame, ticks: DataFrame, cfg: Config, keys: list[str] = KEYS) -> DataFrame:
+    """segment and book_resets for each row of ``ticks``, from book events with their ``generation``.
+
+    segment: decisions so far at which the book's generation was not that of the decision before (0 before the
+    first event). book_resets: changes so far from event to event, in order of receipt.
+    """
+    by = Window.partitionBy(*keys).orderBy("recv_us", "ord")
+    changed = F.when(F.col("generation") != F.lag("generation").over(by), 1).otherwise(0)
+    events = book.withColumn("_changed", changed).withColumn("book_resets", F.sum("_changed").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    at = as_of(events.withColumn("us", F.col("recv_us")), ticks, cfg, ["generation", "book_resets"], keys)
+    at = at.withColumn("generation", F.coalesce("generation", F.lit(0).cast("long"))).withColumn("book_resets", F.coalesce("book_resets", F.lit(0).cast("long")))
+    then = Window.partitionBy(*keys).orderBy("tick_no")
+    moved = F.when(F.col("generation") != F.lag("generation").over(then), 1).otherwise(0)
+    return at.withColumn("_moved", moved).select(*keys, "tick_no", F.sum("_moved").over(then.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("segment"), "book_resets")
+
+
 def latest_per_key(events: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """One row for each key, the last by ``order``: a partial aggregation, so a common key doesn't gather."""
     rest = [c for c in events.columns if c not in keys]

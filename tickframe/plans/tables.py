@@ -423,12 +423,31 @@ also("srt_04_feature_order_whole", "src_04_feature_scan_whole")
 
 @query("win_07_history_reset", sql("SELECT exchange, symbol, segment, count(*) AS samples FROM (SELECT exchange, symbol, sum(CASE WHEN k % 7 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY exchange, symbol ORDER BY recv_us, ord) AS segment FROM view0 WHERE event_type = 'signup') GROUP BY ALL".replace("segment, count", "CAST(segment AS BIGINT) AS segment, count"), "market"))
 def history_reset(spark, d):
-    """Segments of a stream between generation changes; histories are partitioned by them."""
+    """Segments of a stream between generation changes; win_07_reset_zscore has histories partitioned by them."""
     w = Window.partitionBy("exchange", "symbol").orderBy("recv_us", "ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     seg = F.sum(F.when(F.col("k") % 7 == 0, 1).otherwise(0)).over(w)
     return view(spark, d).where("event_type = 'signup'").withColumn("segment", seg).groupBy("exchange", "symbol", "segment").agg(F.count(F.lit(1)).alias("samples"))
 
 
+_RESETS = """, e AS (SELECT exchange, symbol, recv_us, sum(CASE WHEN k %% 7 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY exchange, symbol ORDER BY recv_us, ord) AS generation FROM view0 WHERE event_type = 'signup'),
+gens AS (SELECT g.exchange, g.symbol, g.tick_no, coalesce(max(generation), 0) AS generation FROM ktick g LEFT JOIN e ON e.exchange = g.exchange AND e.symbol = g.symbol AND e.recv_us <= g.tick_no * %d GROUP BY ALL),
+seg AS (SELECT exchange, symbol, tick_no, CAST(sum(CASE WHEN generation <> g THEN 1 ELSE 0 END) OVER (PARTITION BY exchange, symbol ORDER BY tick_no) AS BIGINT) AS segment FROM (SELECT *, lag(generation) OVER (PARTITION BY exchange, symbol ORDER BY tick_no) AS g FROM gens)),
+v AS (SELECT exchange, symbol, window_ticks, tick_no, segment, taker_imbalance AS x, lag(tick_no) OVER (PARTITION BY exchange, symbol, window_ticks, segment ORDER BY tick_no) AS tp FROM trade_flow JOIN seg USING (exchange, symbol, tick_no) WHERE taker_imbalance IS NOT NULL)
+SELECT v.exchange, v.symbol, CAST(v.window_ticks AS BIGINT) AS window_ticks, v.tick_no, v.segment, round(CASE WHEN count(h.x) >= 2 AND max(h.x) > min(h.x) THEN (any_value(v.x) - avg(h.x)) / stddev_pop(h.x) END, 6) + 0.0 AS z
+FROM v LEFT JOIN v h ON h.exchange = v.exchange AND h.symbol = v.symbol AND h.window_ticks = v.window_ticks AND h.segment = v.segment AND h.tick_no <= v.tp AND h.tick_no > v.tp - %d GROUP BY v.exchange, v.symbol, v.window_ticks, v.tick_no, v.segment""" % (HOUR, DEMO.ticks(DEMO.lookback))
+
+
+@query("win_07_reset_zscore", sql("", "trade_flow", "ktick").rstrip() + _RESETS)
+def reset_zscore(spark, d):
+    """z-scores of the imbalance whose histories end where a generation of the book does (the segments of win_07_history_reset)."""
+    i = FE.Inputs(spark, d, DEMO)
+    w = Window.partitionBy("exchange", "symbol").orderBy("recv_us", "ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    i.book_generations = i.all.where("event_type = 'signup'").withColumn("generation", F.sum(F.when(F.col("k") % 7 == 0, 1).otherwise(0)).over(w))
+    wide = FE.with_segments(i, FE.trade_flow(i))
+    z = TL.prior_zscore(wide, "taker_imbalance", DEMO.ticks(DEMO.lookback), FE.history_keys(wide)).where("taker_imbalance is not null")
+    return z.select("exchange", "symbol", F.col("window_ticks").cast("long").alias("window_ticks"), "tick_no", "segment", (F.round("z", 6) + F.lit(0.0)).alias("z"))
+
+
 @query("win_05_same_decision_replaced", sql(f"SELECT exchange, symbol, (recv_us + {HOUR - 1}) // {HOUR} AS tick_no, round(last(value ORDER BY recv_us, ord), 6) + 0.0 AS value FROM view0 WHERE event_type = 'view' GROUP BY ALL", "market"))
 def same_decision(spark, d):
     v = view(spark, d).where("event_type = 'view'").withColumn("tick_no", F.expr(f"(recv_us + {HOUR - 1}) div {HOUR}"))
