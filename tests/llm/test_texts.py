@@ -52,6 +52,14 @@ def test_an_exact_copy_does_not_hide_an_edited_one(spark):
         assert {r["doc_id"] for r in got} == {2, *range(10, 10 + copies)}
 
 
+def test_items_of_digits_few_words_and_unspaced_scripts(spark):
+    items = [(1, "12 * 7 + 3 = 87"), (2, "print(x)"), (3, "水は百度で沸騰しますか、それとも九十度ですか"), (4, "กรุงเทพมหานคร"), (5, "42"), (6, " -- ")]
+    docs = [(1, "so 12 * 7 + 3 = 87, then"), (2, "a = 1; print( x ) # ok"), (3, "さて、水は百度で沸騰しますか、それとも九十度ですかと聞いた"), (4, "ที่กรุงเทพมหานครมี"), (5, "It is 42."), (6, "13 * 9 + 4 = 121")]
+    docs += [(7, "x print y"), (8, "今日は天気がいいですから散歩に行きましょう"), (9, "ประเทศไทย"), (10, "421 and 4 2"), (11, "--"), (12, "漢字 and letters")]
+    got = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(i, i) for i in range(1, 6)} and all(r["score"] == 1 for r in got)
+
+
 def test_places_in_slices_are_the_same(monkeypatch):
     rng = random.Random(8)
     words = lambda n: " ".join(rng.choice("abcd") for _ in range(n))

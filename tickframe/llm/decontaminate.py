@@ -1,6 +1,7 @@
 """Benchmark decontamination: n-gram seeds find passages, Smith-Waterman alignment scores them.
 
-Words are runs of letters in lower case (any script), so punctuation and decoration do not matter. Every 3-word
+Words are runs of letters and digits in lower case (any script), so punctuation and decoration do not matter; in scripts
+without spaces (Chinese, Japanese, Thai and so on) each character is a word. Every 3-word
 sequence of a test item is a seed, however common it is: leaking copies make a sequence common, so counts
 tell nothing about which ones an edited copy has kept. A seed in a document marks a passage around the place where the whole item would lie, and
 item and passage are aligned word by word (match 1, mismatch and gap -0.5). The score is the best local
@@ -13,8 +14,8 @@ threshold by that share are not aligned; none of them could reach it.
 Scale: one narrow scan; no document is shuffled. What reaches the executors is the benchmark, in portions
 of ``PORTION_BYTES`` of item text: a larger benchmark is scanned in several portions, each within the bound.
 
-Defined cases: a null text is empty and leaks nothing; an item with fewer than 3 words (or a null one) has
-no seed and matches nothing; repeated items and repeated documents are scored alike, a document's best item
+Defined cases: a null text is empty and leaks nothing; an item with fewer than 3 words is one seed as a whole,
+so documents that hold just these words in a row leak it; an item without words (or a null one) matches nothing; repeated items and repeated documents are scored alike, a document's best item
 is the smallest id among equals; an empty table on either side gives an empty result; rows with a null
 doc_id are reported together under null.
 """
@@ -44,21 +45,37 @@ PLACES = 1 << 20
 
 FOLD = np.full(256, 0x20, np.uint8)
 FOLD[ord("a") : ord("z") + 1] = np.arange(ord("a"), ord("z") + 1)
+FOLD[ord("0") : ord("9") + 1] = np.arange(ord("0"), ord("9") + 1)
 FOLD[128:] = np.arange(128, 256)
 
 
+def unspaced(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the characters of scripts that don't put spaces between words, by their first two UTF-8 bytes."""
+    many = np.flatnonzero(buf >= 0xE0)
+    a, b = buf[many], buf[np.minimum(many + 1, len(buf) - 1)]
+    east = (a >= 0xE3) & (a <= 0xE9)  # kana, ideographs
+    south = (a == 0xE0) & (b >= 0xB8) & (b <= 0xBB) | (a == 0xE1) & ((b >= 0x80) & (b <= 0x82) | (b >= 0x9E) & (b <= 0x9F))  # Thai, Lao, Burmese, Khmer
+    rare = (a == 0xF0) & (b >= 0xA0) & (b <= 0xB3)  # further ideographs
+    use = east | south | rare
+    return many[use], many[use] + np.where(rare[use], 4, 3)
+
+
 def words_of(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of a block, and the index of each row's first word."""
     folded = FOLD[buf]
     starts, ends, first = word_bounds(folded, off)
+    low, high = unspaced(folded)
+    if len(low):
+        starts, ends = np.union1d(starts, np.append(low, np.setdiff1d(high, ends))), np.union1d(ends, np.append(high, np.setdiff1d(low, starts)))
+        first = np.searchsorted(starts, off)
     return span_hashes(folded, starts, ends), first
 
 
-def grams_of(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def grams_of(h: np.ndarray, first: np.ndarray, n: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the n-word sequences of a block, and which of them lie within one row."""
-    g = window_hashes(h, GRAM)
+    g = window_hashes(h, n)
     inside = np.ones(len(h), bool)
-    for k in range(1, GRAM):
+    for k in range(1, n):
         at = first[1:] - k
         inside[at[at >= 0]] = False
     return g, inside[: len(g)]
@@ -73,13 +90,19 @@ class Items:
         self.words: list[np.ndarray] = []
         seeds, items, places = [], [], []
         for (h, first), i in parts:
-            g, inside = grams_of(h, first)
             self.words += [h[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
-            at = np.flatnonzero(inside)
-            row = np.searchsorted(first, at, side="right") - 1
-            seeds.append(g[at])
-            items.append(row + i)
-            places.append(at - first[row])
+            size = np.diff(first)
+            for n in range(1, GRAM + 1):
+                g, inside = grams_of(h, first, n)
+                at = np.flatnonzero(inside)
+                row = np.searchsorted(first, at, side="right") - 1
+                if n < GRAM:  # shorter sequences are seeds where they are all of the item
+                    at, row = at[size[row] == n], row[size[row] == n]
+                seeds.append(g[at])
+                items.append(row + i)
+                places.append(at - first[row])
+        #: Lengths of sequences that are seeds.
+        self.lengths = sorted({min(len(w), GRAM) for w in self.words} - {0})
         cat = lambda x, t: np.concatenate(x).astype(t) if x else np.zeros(0, t)
         self._set(cat(seeds, np.uint64), cat(items, np.int32), cat(places, np.int32))
 
@@ -134,7 +157,7 @@ def align(items: list[np.ndarray], passages: list[np.ndarray]) -> np.ndarray:
 
 def passages(items: Items, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Row, item, and word range of each passage that a seed points to (one for each row, item and stretch)."""
-    hits, seeds = items.find(*grams_of(h, first))
+    hits, seeds = (np.concatenate(x) for x in zip(*(items.find(*grams_of(h, first, n)) for n in items.lengths or [GRAM]), strict=True))
     sizes = np.array([len(w) for w in items.words], np.int64)
     upto = np.cumsum(items.end[seeds] - items.begin[seeds])
     found, i = np.zeros((3, 0), np.int64), 0
