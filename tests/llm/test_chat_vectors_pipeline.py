@@ -61,6 +61,25 @@ def test_vectors_recall_and_precision(spark):
     assert got[905]["n_links"] == 1 and got[906]["component_id"] == 905
 
 
+def test_vectors_recall_in_a_thousand_cells(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    base = unit(rng.standard_normal((60, 64))[rng.integers(0, 60, 3000)] * 0.5 + rng.standard_normal((3000, 64)))
+    aside = rng.standard_normal((2000, 64))
+    aside = unit(aside - (aside * base[:2000]).sum(axis=1, keepdims=True) * base[:2000])
+    c = rng.uniform(0.9005, 0.98, (2000, 1))
+    x = np.concatenate([base, c * base[:2000] + np.sqrt(1 - c**2) * aside]).astype(np.float32)
+    monkeypatch.setattr(vectors, "PER_CELL", 4)  # 1,250 cells, of which each vector goes to 4
+    monkeypatch.setattr(vectors, "SAMPLE_ROWS", 1300)  # most pairs are not among the rows that cells are fitted on
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {r["vec_id"]: r["n_links"] for r in vectors.near_duplicates(rows).collect()}
+    u = unit(x.astype(float))
+    near = u @ u.T >= vectors.COSINE
+    np.fill_diagonal(near, False)
+    count = np.array([got[i] for i in range(len(x))])
+    assert near.sum() >= 4000 - 20 and (count <= near.sum(axis=1)).all() and count.sum() >= 0.9 * near.sum()
+
+
 def test_vectors_empty(spark):
     schema = "vec_id long, embedding array<float>"
     assert vectors.near_duplicates(spark.createDataFrame([], schema)).collect() == []
