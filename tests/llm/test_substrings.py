@@ -110,19 +110,40 @@ def test_results_do_not_depend_on_blocks(spark, monkeypatch):
         assert got == want
 
 
-def test_index_finds_first_occurrences():
+def test_matching_statistics_equal_brute_force():
     rng = random.Random(3)
-    for _ in range(25):
-        window = rng.randrange(3, 9)
-        texts = [bytes(rng.choice(b"abc") for _ in range(rng.randrange(window, 25))) for _ in range(rng.randrange(1, 9))]
-        off = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-        index = suffixes.RunLengthIndex(np.frombuffer(b"".join(texts), np.uint8), off, window)
-        first = {}
-        for t, x in enumerate(texts):
-            for i in range(len(x) - window + 1):
-                first.setdefault(x[i : i + window], off[t] + t + i)
+    for _ in range(60):
+        texts = [bytes(rng.choice(b"abc") for _ in range(rng.randrange(1, 25))) for _ in range(rng.randrange(1, 9))]
         patterns = texts + [bytes(rng.choice(b"abcd") for _ in range(rng.randrange(1, 30))) for _ in range(5)]
-        bounds = np.concatenate([[0], np.cumsum([len(t) for t in patterns])])
-        got = index.first_occurrence(np.frombuffer(b"".join(patterns), np.uint8), bounds).tolist()
-        want = [first.get(x[i : i + window], -1) if i + window <= len(x) else -1 for x in patterns for i in range(len(x))]
-        assert got == want
+        data = np.frombuffer(b"".join(patterns), np.uint8)
+        off = np.concatenate([[0], np.cumsum([len(t) for t in patterns])])
+        index = suffixes.RunLengthIndex(data, off[: len(texts)], off[1 : len(texts) + 1])
+        length, place = index.statistics(data, off[:-1], off[1:])
+        want = [max(k for k in range(len(p) - i + 1) if any(p[i : i + k] in t for t in texts)) for p in patterns for i in range(len(p))]
+        assert length.tolist() == want
+        for i, (n, at) in enumerate(zip(length, place)):
+            assert n == 0 or bytes(data[i : i + n]) == bytes(data[at : at + n])
+
+
+def test_index_of_copies_is_small():
+    rng = random.Random(5)
+    text = bytes(rng.choice(b"abcdefgh ") for _ in range(700))
+    data = np.frombuffer(text * 50, np.uint8)
+    bounds = np.arange(51) * 700
+    one, many = (suffixes.RunLengthIndex(data, bounds[:k], bounds[1 : k + 1]) for k in (1, 50))
+    assert len(many.code) < 2 * len(one.code)
+
+
+@pytest.mark.parametrize("operator, brute", [(phrases.deduplicate, by_words), (suffixes.deduplicate, by_bytes)])
+def test_common_line_with_many_neighbours(spark, monkeypatch, operator, brute):
+    """More texts of one anchor than are compared in one piece; some of their windows recur."""
+    monkeypatch.setattr(repeats, "HOT", 4)
+    rng = random.Random(11)
+    line = " ".join(f"line{i}" for i in range(16)) + " fixed words of the license that stand everywhere"
+    rows = []
+    for i in range(60):
+        own = [f"w{rng.randrange(10**6)}" for _ in range(40)]
+        end = own[20:] if i % 5 else [f"same{k}" for k in range(20)]
+        rows.append((i, " ".join(own[:20]) + " " + line + " " + " ".join(end)))
+    got = {r[0]: tuple(r)[1:] for r in operator(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows)

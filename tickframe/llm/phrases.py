@@ -1,15 +1,16 @@
 """Substring deduplication by repeated-phrase automata.
 
 Removes every word that a window of 20 words covers whose word sequence also starts earlier. The shared
-plan (``repeats``) brings all stretches that may hold equal windows into one shard. There, passages that
-recur are confirmed: windows are grouped by which stretches hold them, and consecutive windows held by the
-same two or more stretches form one passage. The passages of a shard are compiled into Aho-Corasick
-automata of at most ``AUTOMATON_WORDS`` words of text each, words as single characters, and all stretches
-are streamed through them to locate every occurrence; all but the first of each passage are removed.
-
-Defined cases: a null text has no words; texts shorter than the window lose nothing; repeated rows are one
-document; rows with the same id but other texts, or without an id, are ordered by content (null ids last);
-an empty table gives an empty result.
+plan (``repeats``) confirms the passages that recur and says which of them each document may hold. The
+passages of a block of documents are compiled into Aho-Corasick automata of at most ``AUTOMATON_WORDS``
+words of text each, words as single characters, and the block's documents are streamed whole through all of
+them to locate every occurrence; all but the first of each passage in the corpus are removed. Nothing else
+is: what no automaton finds stays.
+
+Defined cases: a null text has no words; texts shorter than the window lose nothing; very long texts are a
+block of their own, with as many automata as their passages need; repeated rows are one document; rows with
+the same id but other texts, or without an id, are ordered by a hash of the content (null ids last); an
+empty table gives an empty result; other columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,10 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tickframe.llm import repeats
-from tickframe.llm.common import mix, text_blocks, window_hashes
+from tickframe.llm.common import window_hashes
 
 WINDOW, GRAM = 20, 6
-AUTOMATON_WORDS = 60_000
+AUTOMATON_WORDS = 1_000_000
 #: Code points for words: from here up, past the surrogates; how many there are.
 FIRST_CHAR, SURROGATES, N_SURROGATES = 0x100, 0xD800, 0x800
 CHARACTERS = 0x110000 - FIRST_CHAR - N_SURROGATES
@@ -35,7 +36,7 @@ CHARACTERS = 0x110000 - FIRST_CHAR - N_SURROGATES
 def as_characters(values: np.ndarray, first: np.ndarray) -> str:
     """One character for each word and a separator (a character no word has) after each row.
 
-    Only beyond ``CHARACTERS`` distinct words do some share one; ``resolve_part`` compares words in any case.
+    Only beyond ``CHARACTERS`` distinct words do some share one; ``locate`` compares the words in any case.
     """
     _, code = np.unique(values, return_inverse=True)
     code = code % CHARACTERS + FIRST_CHAR
@@ -43,115 +44,53 @@ def as_characters(values: np.ndarray, first: np.ndarray) -> str:
     return np.insert(code, first[1:], 1).astype("<u4").tobytes().decode("utf-32-le")
 
 
-def confirmed(block: repeats.Block, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Recurring passages as word ranges of their first occurrences."""
-    rows = len(block.first) - 1
-    h = window_hashes(block.values, window)
-    count = np.maximum(np.diff(block.first) - window + 1, 0)
-    at = repeats.ragged(block.first[:-1], count)
-    row = np.repeat(np.arange(rows), count)
-    h = h[at]
-    _, kind = np.unique(h, return_inverse=True)
-    n = np.bincount(kind)
-    held_by = np.zeros(len(n), np.uint64)  # a signature of the set of rows that hold the window
-    np.add.at(held_by, kind, mix(row.astype(np.uint64) + np.uint64(1)))
-    use = n[kind] > 1
-    lead, _ = repeats.firsts(h)
-    # a passage goes on while windows are next to each other and held by the same rows
-    joins = np.zeros(len(at), bool)
-    joins[1:] = use[1:] & use[:-1] & (row[1:] == row[:-1]) & (held_by[kind[1:]] == held_by[kind[:-1]])
-    heads = np.flatnonzero(use & ~joins)
-    ends = np.append(np.flatnonzero(use & ~np.append(joins[1:], False)), [])
-    ends = ends.astype(np.int64)
-    mine = lead[heads]
-    return at[heads[mine]], at[ends[mine]] + window
-
-
-def resolve_part(block: repeats.Block, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    lo, hi = confirmed(block, window)
-    empty = np.zeros(0, np.int64)
-    if not len(lo):
-        return empty, empty, empty
-    text = as_characters(block.values, block.first)
-    shift = np.searchsorted(block.first[1:], lo, side="right")  # separators before the place
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-    size, origin = [], []
-    for a, b, first in zip((lo + shift).tolist(), (hi + shift).tolist(), lo.tolist(), strict=True):
-        passage = text[a:b]
-        if not automaton.exists(passage):
-            automaton.add_word(passage, len(size))
-            size.append(b - a)
-            origin.append(first)
-    automaton.make_automaton()
-    hits = np.array(list(automaton.iter(text)), np.int64).reshape(-1, 2)
-    which, size = hits[:, 1], np.array(size, np.int64)
-    begin = hits[:, 0] + 1 - size[which]
-    # the words at a hit are the passage's words: their first and last windows have equal hashes
-    h = window_hashes(block.values, window)
-    word = begin - np.searchsorted(block.first[1:] + np.arange(len(block.first) - 1), begin, side="right")
-    start, tail = np.array(origin)[which], size[which] - window
-    same = (h[word] == h[start]) & (h[word + tail] == h[start + tail])
-    which, begin = which[same], begin[same]
-    order = np.lexsort((begin, which))
-    which, begin = which[order], begin[order]
-    later = np.concatenate([[False], which[1:] == which[:-1]])  # rows are in document order
-    which, begin = which[later], begin[later]
-    row_at = block.first[:-1] + np.arange(len(block.first) - 1)  # where rows begin among the characters
-    row = np.searchsorted(row_at, begin, side="right") - 1
-    start = begin - row_at[row]
-    return row, start, start + size[which]
-
-
-def resolve(s: repeats.Stretches, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchors in portions of bounded text, each with an automaton of its own."""
-    order = np.argsort(s.group, kind="stable")
-    size = np.diff(s.off)
-    words = np.zeros(len(order), np.int64)
-    out = []
-    spaces = np.concatenate([[0], np.cumsum(s.data == 0x20)])
-    words = spaces[s.off[1:]] - spaces[s.off[:-1]] + 1
-    total = np.cumsum(words[order])
-    group = s.group[order]
+def portions(sizes: np.ndarray, most: int) -> Iterator[slice]:
+    """Consecutive items of ``most`` together at most, or one larger."""
+    total = np.cumsum(sizes)
     x = 0
-    while x < len(order):
-        y = int(np.searchsorted(total, (total[x - 1] if x else 0) + AUTOMATON_WORDS, side="right"))
-        y = max(y, x + 1)
-        y = int(np.searchsorted(group, group[y - 1], side="right"))  # all of an anchor's stretches together
-        k = np.sort(order[x:y])
-        data = s.data[repeats.ragged(s.off[:-1][k], size[k])]
-        block = repeats.word_units(data, np.concatenate([[0], np.cumsum(size[k])]))
-        row, lo, hi = resolve_part(block, window)
-        out.append((k[row], lo, hi))
+    while x < len(sizes):
+        y = max(int(np.searchsorted(total, (total[x - 1] if x else 0) + most, side="right")), x + 1)
+        yield slice(x, y)
         x = y
-    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
+def locate(block: repeats.Block, ids: np.ndarray, here: repeats.Passages, window: int = WINDOW) -> np.ndarray:
+    """Which words of the documents ``ids`` are in an occurrence of a passage that isn't its first one."""
+    edge = np.zeros(len(block.values) + 1, np.int64)
+    text = as_characters(block.values, block.first)
+    row_at = block.first[:-1] + np.arange(len(block.first) - 1)  # where rows begin among the characters
+    windows = window_hashes(block.values, window)
+    lo, hi = here.lo + block.first[here.row], here.hi + block.first[here.row]
+    for part in portions(hi - lo, AUTOMATON_WORDS):
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for k, a, b in zip(range(part.start, part.stop), (lo + here.row)[part].tolist(), (hi + here.row)[part].tolist(), strict=True):
+            automaton.add_word(text[a:b], k)  # of equal passages the last stays: their first occurrence is one
+        automaton.make_automaton()
+        hits = np.array(list(automaton.iter(text)), np.int64).reshape(-1, 2)
+        which, size = hits[:, 1], (hi - lo)[hits[:, 1]]
+        place = hits[:, 0] + 1 - size
+        row = np.searchsorted(row_at, place, side="right") - 1
+        word = place - row
+        # characters may stand for several words, hashes of the passage's first and last windows don't
+        same = (windows[word] == windows[lo[which]]) & (windows[word + size - window] == windows[hi[which] - window])
+        later = same & ((ids[row] != here.doc[which]) | (word - block.first[row] != here.at[which]))
+        np.add.at(edge, word[later], 1)
+        np.add.at(edge, (word + size)[later], -1)
+    return np.cumsum(edge[:-1]) > 0
 
 
 def deduplicate(docs: DataFrame, id_col="doc_id", text_col="text", window: int = WINDOW, gram: int = GRAM, with_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (and kept_text) for every row."""
 
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            n_words, n_removed, digests, texts = [], [], [], []
-            for i, j, buf, off in text_blocks(b["text"]):
-                block = repeats.word_units(buf, off)
-                gone = repeats.removal_mask(b["spans"], i, j, block.first)
-                kept_at = np.concatenate([[0], np.cumsum(~gone)])
-                size = (block.end - block.begin)[~gone]
-                data = block.data[repeats.ragged(block.begin[~gone], size + 1)] if len(size) else block.data[:0]
-                at = np.concatenate([[0], np.cumsum(size + 1)])[kept_at[block.first]]
-                raw = data.tobytes()
-                for r in range(j - i):
-                    text = raw[at[r] : max(at[r], at[r + 1] - 1)]
-                    digests.append(hashlib.sha256(text).hexdigest())
-                    if with_text:
-                        texts.append(text.decode())
-                words = np.diff(block.first)
-                n_words.append(words)
-                n_removed.append(words - np.diff(kept_at[block.first]))
-            if not digests:
-                continue
-            columns = [b["id"], pa.array(np.concatenate(n_words)), pa.array(np.concatenate(n_removed)), pa.array(digests)] + [pa.array(texts, pa.string())] * with_text
-            yield pa.RecordBatch.from_arrays(columns, ["id", "n_words", "n_removed", "kept_sha256"] + ["kept_text"] * with_text)
+    def report(block: repeats.Block, gone: np.ndarray) -> list[pa.Array]:
+        kept_at = np.concatenate([[0], np.cumsum(~gone)])[block.first]
+        size = (block.end - block.begin)[~gone]
+        raw = block.data[repeats.ragged(block.begin[~gone], size + 1)].tobytes()  # each word with its space
+        at = np.concatenate([[0], np.cumsum(size + 1)])[kept_at]
+        texts = [raw[x : max(x, y - 1)] for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        words = np.diff(block.first)
+        columns = [pa.array(words), pa.array(words - np.diff(kept_at)), pa.array([hashlib.sha256(t).hexdigest() for t in texts])]
+        return columns + [pa.array([t.decode() for t in texts], pa.string())] * with_text
 
     schema = "id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
-    return repeats.without_repeats(docs, repeats.word_units, window, gram, lambda s: resolve(s, window), finish, schema, id_col, text_col)
+    return repeats.without_repeats(docs, repeats.word_units, window, gram, lambda *x: locate(*x, window), report, schema, id_col, text_col)

@@ -5,19 +5,22 @@ document. Each window has an anchor, the leftmost of its ``gram``-unit sequences
 The anchor depends on the window's content alone, so equal windows have equal anchors wherever they stand,
 and consecutive windows with the anchor at one place form a stretch. The plan:
 
-1. every document lists its anchors' hashes; hashes are gathered in buckets, where those that occur twice
-   or more are found (a batch sends each hash once, and notes by itself what occurs twice in it);
-2. documents take back the numbers of their recurring anchors and send the text of these stretches to
-   shards by anchor hash, so all windows that may be equal meet in one shard (equal stretches of a batch
-   send one, the first; the others are known to be repeats);
-3. a shard keeps the first of equal stretches and gives different stretches of one anchor to a *resolver*,
-   which says which windows of each occur in an earlier one;
-4. documents take back the unit ranges to remove.
-
-Buckets and shards are ``PER_PARTITION`` for each shuffle partition, so their size follows from the
-session's ``spark.sql.shuffle.partitions``, which the user sizes to the input. Order is by document id,
-then start; where ids repeat or are null, documents are numbered first (by id, nulls last, then content),
-and rows equal in id and text are one document whose result each of them gets.
+1. documents list their anchors; those that occur twice or more in the corpus are found (``recurring``);
+2. documents give the stretches of these anchors, each different one once with how often it stands there
+   (``stretches``, written to the shared folder);
+3. passages are confirmed (``passages``): runs of windows that occur twice or more, with their first
+   occurrence in the corpus. Where an anchor has one text, that is the passage; where it has several, they
+   are compared window by window; where it has more than ``HOT`` (a common line with ever new neighbours),
+   its windows are counted one by one, so no task holds them all;
+4. every document gets the passages it may hold, and all documents are streamed whole past them: an
+   operator's ``Locator`` (automata, or a run-length index) finds where they occur. Each place but the first
+   occurrence is removed. Nothing is removed that the locator did not find.
+
+Every row that is shuffled is one stretch, window or passage, so the rows grow with the recurring text and
+not with the number of partitions. Rows of one key are combined before they are shuffled or joined by joins
+that AQE splits. Different texts of one anchor are told apart by two 64-bit hashes. Order is by document
+id, then start; where ids repeat or are null, documents are numbered first (by id, nulls last, then a hash
+of the content), and rows equal in id and text are one document whose result each of them gets.
 """
 
 from __future__ import annotations
@@ -27,23 +30,22 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickframe.llm.common import cut, mix, partitions, small_batches, span_hashes, text_blocks, window_hashes, word_bounds
+from tickframe.llm.common import mix, small_batches, span_hashes, stored, text_blocks, window_hashes, word_bounds
 
-PER_PARTITION = 8
+#: Different texts of one anchor that are compared in one piece; more are counted window by window.
+HOT = 256
 #: Bits that a place takes in a sort key beside its hash: windows are worked through in slices of fewer
 #: places, whose arrays stay in the processor's cache.
 PLACE_BITS = 17
-LARGEST = np.iinfo(np.int64).max
 
 BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
-#: Which unit ranges [lo, hi) of the texts of a shard are repeats: (text number, lo, hi). The texts come in
-#: order, equal ones are gone, and ``group`` numbers their anchors.
-Resolver = Callable[["Stretches"], tuple[np.ndarray, np.ndarray, np.ndarray]]
+Units = Callable[[np.ndarray, np.ndarray], "Block"]
+#: Which units of a block's documents (ids) are occurrences, other than the first, of the passages given to them.
+Locator = Callable[["Block", np.ndarray, "Passages"], np.ndarray]
 
 
 @dataclass
@@ -125,30 +127,7 @@ def anchors(block: Block, window: int, gram: int) -> tuple[np.ndarray, np.ndarra
     return np.searchsorted(block.first, a, side="right") - 1, h, a, b, p
 
 
-# ------------------------------------------------------------------------------------------- packing
-
-
-def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays as one compressed value: count, type and length of each, then their bytes."""
-    head = np.array([len(arrays), *(x for a in arrays for x in (ord(a.dtype.char), len(a)))], np.int64)
-    return zstandard.ZstdCompressor(level=1).compress(b"".join([head.tobytes(), *(np.ascontiguousarray(a).tobytes() for a in arrays)]))
-
-
-def unpack(value: bytes) -> list[np.ndarray]:
-    raw = zstandard.ZstdDecompressor().decompress(value)
-    n = int(np.frombuffer(raw, np.int64, 1)[0])
-    head = np.frombuffer(raw, np.int64, 1 + 2 * n)
-    out, at = [], 8 * (1 + 2 * n)
-    for code, size in zip(head[1::2], head[2::2], strict=True):
-        kind = np.dtype(chr(code))
-        out.append(np.frombuffer(raw, kind, int(size), at))
-        at += int(size) * kind.itemsize
-    return out
-
-
-def unpack_all(column: pa.ChunkedArray) -> list[np.ndarray]:
-    parts = [unpack(v) for v in column.to_pylist()]
-    return [np.concatenate(x) for x in zip(*parts, strict=True)]
+# ----------------------------------------------------------------------------------------- arrays
 
 
 def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -169,165 +148,226 @@ def firsts(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return of == np.arange(len(of)), of
 
 
+def of_texts(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and bounds of a column of binary values without nulls."""
+    one = texts.combine_chunks()
+    if isinstance(one, pa.ChunkedArray):
+        one = one.chunk(0)
+    _, offsets, data = one.buffers()
+    off = np.frombuffer(offsets, np.int32)[one.offset : one.offset + len(one) + 1].astype(np.int64)
+    buf = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return buf[off[0] : off[-1]], off - off[0]
+
+
+def longs(x: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return x.to_numpy(zero_copy_only=False) if isinstance(x, pa.Array) else x.to_numpy()
+
+
 # -------------------------------------------------------------------------------------------- stages
 
 
 @dataclass
-class Stretches:
-    """Different stretches of recurring anchors in document order."""
+class Passages:
+    """Passages by the documents of a block that may hold them: places [lo, hi) in units of the row's text, the
+    first occurrence in the corpus (document, start), and the anchor."""
 
-    data: np.ndarray
-    off: np.ndarray
-    group: np.ndarray
+    row: np.ndarray
+    lo: np.ndarray
+    hi: np.ndarray
+    doc: np.ndarray
+    at: np.ndarray
+    anchor: np.ndarray
 
 
 def numbered(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bool]:
-    """id (unique, in order, not null) and text; whether ids had to be made (then doc_id stands beside)."""
+    """id (unique, in order, not null) and text; whether ids had to be made (then doc_id stands beside).
+
+    Ids are made from (doc_id, two hashes of the text); texts are not sorted.
+    """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     count = base.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("d")).first()
     if count["n"] == count["d"]:
-        return base.select(F.col("doc_id").alias("id"), "text").where("id is not null"), False
-    once = cut(base.distinct().orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), "text"))
-    return once.select(F.monotonically_increasing_id().alias("id"), "text", "doc_id"), True
+        return base.select(F.col("doc_id").alias("id"), "text"), False
+    named = base.select("doc_id", "text", F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("g"))
+    once = named.dropDuplicates(["doc_id", "h", "g"])
+    order = named.select("doc_id", "h", "g").distinct().orderBy(F.col("doc_id").asc_nulls_last(), "h", "g")
+    ids = stored(order.select(F.monotonically_increasing_id().alias("id"), F.col("doc_id").alias("d"), F.col("h").alias("a"), F.col("g").alias("b")))
+    return once.join(ids, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("a")) & (F.col("g") == F.col("b"))).select("id", "text", "doc_id"), True
 
 
-def removed_ranges(docs: DataFrame, units: Callable[[np.ndarray, np.ndarray], Block], window: int, gram: int, resolve: Resolver) -> DataFrame:
-    """id, spans (array of structs lo, hi in units) of the documents (id, text) that lose anything."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    shards = partitions(spark) * PER_PARTITION
+def recurring(docs: DataFrame, units: Units, window: int, gram: int) -> DataFrame:
+    """id, numbers: which of its anchors (counted from 0) a document shares with another place of the corpus.
 
-    def by_shard(shard: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
-        order = np.argsort(shard, kind="stable")
-        heads = np.flatnonzero(np.concatenate([[True], np.diff(shard[order]) > 0])) if len(order) else []
-        for x, y in zip(heads, [*heads[1:], len(order)], strict=True):
-            yield int(shard[order[x]]), [c[order[x:y]] for c in columns]
+    A batch asks for each hash once and notes by itself what stands in it several times. Rows of which that is
+    known get a key of their own, so a common hash has one row for each batch.
+    """
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b["id"].to_numpy()
-            found: list[tuple[np.ndarray, ...]] = []
+            ids = longs(b["id"])
             for i, _, buf, off in text_blocks(b["text"]):
-                block = units(buf, off)
-                row, h, *_ = anchors(block, window, gram)
-                found.append((h, ids[row + i], (np.arange(len(row)) - np.searchsorted(row, row)).astype(np.int32)))
-            if not found:
-                continue
-            h, doc, number = (np.concatenate(x) for x in zip(*found, strict=True))
-            lead, of = firsts(h)
-            again = np.zeros(len(h), bool)
-            again[of[~lead]] = True
-            again |= ~lead
-            # the first with its hash goes to the hash's bucket; what is known to recur goes anywhere
-            shard = np.where(lead, h % np.uint64(shards), (np.arange(len(h)) + int(ids[0] if len(ids) else 0)) % shards).astype(np.int64)
-            out = [(s, pack(h, np.diff(doc, prepend=0), number, again, lead)) for s, (h, doc, number, again, lead) in by_shard(shard, h, doc, number, again.astype(np.uint8), lead.astype(np.uint8))]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in out], pa.int32()), pa.array([v for _, v in out], pa.binary())], ["shard", "value"])
-
-    def answer(t: pa.Table) -> pa.Table:
-        parts = [unpack(v) for v in t["value"].to_pylist()]
-        h, number, again, lead = (np.concatenate([p[k] for p in parts]) for k in (0, 2, 3, 4))
-        doc = np.concatenate([np.cumsum(p[1]) for p in parts])
-        asked = lead == 1
-        order = np.argsort(h[asked], kind="stable")
-        x = h[asked][order]
-        twin = np.zeros(len(x), bool)
-        if len(x) > 1:
-            same = x[1:] == x[:-1]
-            twin[1:] |= same
-            twin[:-1] |= same
-        known = again == 1
-        known[np.flatnonzero(asked)[order[twin]]] = True
-        return pa.table({"id": doc[known], "number": number[known]})
-
-    recurring = docs.select("id", "text").mapInArrow(ask, "shard int, value binary").groupBy("shard").applyInArrow(answer, "id long, number int")
-    numbers = recurring.groupBy("id").agg(F.collect_set("number").alias("numbers"))
+                row, h, *_ = anchors(units(buf, off), window, gram)
+                number = np.arange(len(row)) - np.searchsorted(row, row)
+                lead, of = firsts(h)
+                again = ~lead
+                again[of[~lead]] = True
+                own = mix(ids[row + i].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + number.astype(np.uint64))
+                key = np.where(lead, h, own).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids[row + i]), pa.array(number.astype(np.int32)), pa.array(again)], ["key", "id", "number", "again"])
+
+    asked = docs.select("id", "text").mapInArrow(ask, "key long, id long, number int, again boolean")
+    same = Window.partitionBy("key")
+    known = asked.select("id", "number", F.count(F.lit(1)).over(same).alias("n"), F.max("again").over(same).alias("some")).where("n > 1 or some")
+    return known.groupBy("id").agg(F.collect_list("number").alias("numbers"))
+
+
+def stretches(docs: DataFrame, numbers: DataFrame, units: Units, window: int, gram: int) -> DataFrame:
+    """h, digest, id, start, size (in units), n, text: the different stretches of recurring anchors of each document.
+
+    ``start`` is the first of the document's ``n`` places of the stretch. The text comes with at least one row
+    of each (h, digest): the first one of a block.
+    """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, numbers = b["id"].to_numpy(), b["numbers"]
-            n_off, n_flat = numbers.offsets.to_numpy(), numbers.values.to_numpy()
+            ids, wanted = longs(b["id"]), b["numbers"]
+            n_off, n_flat = wanted.offsets.to_numpy(), wanted.values.to_numpy()
             for i, j, buf, off in text_blocks(b["text"]):
                 block = units(buf, off)
-                row, h, lo, hi, at = anchors(block, window, gram)
+                row, h, lo, hi, _ = anchors(block, window, gram)
                 first = np.searchsorted(row, np.arange(j - i + 1))
                 take = np.sort(n_flat[n_off[i] : n_off[j]] + np.repeat(first[:-1], np.diff(n_off[i : j + 1])))
-                if not len(take):
-                    continue
-                row, h, lo, hi, at = row[take], h[take], lo[take], hi[take], at[take]
+                row, h, lo, hi = row[take], h[take], lo[take], hi[take]
                 begin, end = block.begin[lo], block.end[hi + window - 1]
-                order = np.lexsort((lo, ids[row + i]))  # document order, whatever the order of the batch
-                row, h, lo, hi, at, begin, end = (x[order] for x in (row, h, lo, hi, at, begin, end))
                 digest = span_hashes(block.data, begin, end)
-                lead, _ = firsts(h, digest, at - lo)
-                doc, start = ids[row + i], lo - block.first[row]
-                size = hi - lo + window
-                sent = np.where(lead, end - begin, 0)  # a repeat within the block needs no text
-                shard = np.where(lead, h % np.uint64(shards), (np.arange(len(h)) + i) % shards).astype(np.int64)
-                out = []
-                for s, (k,) in by_shard(shard, np.arange(len(h))):
-                    text = block.data[ragged(begin[k], sent[k])]
-                    out.append((s, pack(h[k], np.diff(doc[k], prepend=0), start[k].astype(np.int32), size[k].astype(np.int32), (at - lo)[k].astype(np.int32), sent[k].astype(np.int32), text)))
-                yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in out], pa.int32()), pa.array([v for _, v in out], pa.binary())], ["shard", "value"])
-
-    def settle(t: pa.Table) -> pa.Table:
-        parts = [unpack(v) for v in t["value"].to_pylist()]
-        h, start, size, place, sent, data = (np.concatenate([p[k] for p in parts]) for k in (0, 2, 3, 4, 5, 6))
-        doc = np.concatenate([np.cumsum(p[1]) for p in parts])
-        begin = np.cumsum(sent, dtype=np.int64) - sent
-        out = [(doc[sent == 0], start[sent == 0], (start + size)[sent == 0])]
-        k = np.flatnonzero(sent > 0)
-        k = k[np.lexsort((start[k], doc[k]))]
-        if len(k):  # rows equal in id and text were one document
-            k = k[np.concatenate([[True], (np.diff(doc[k]) != 0) | (np.diff(start[k]) != 0)])]
-        digest = span_hashes(data, begin[k], begin[k] + sent[k])
-        lead, _ = firsts(h[k], digest, place[k])
-        rest = k[~lead]
-        out.append((doc[rest], start[rest], (start + size)[rest]))
-        k = k[lead]
-        _, group, count = np.unique(h[k], return_inverse=True, return_counts=True)
-        several = count[group] > 1
-        k, group = k[several], group[several]
-        if len(k):
-            off = np.concatenate([[0], np.cumsum(sent[k], dtype=np.int64)])
-            text, lo, hi = resolve(Stretches(data[ragged(begin[k], sent[k].astype(np.int64))], off, group))
-            out.append((doc[k[text]], start[k[text]] + lo, start[k[text]] + hi))
-        doc, lo, hi = (np.concatenate([o[c] for o in out]) for c in range(3))
-        return pa.table({"id": doc.astype(np.int64), "lo": lo.astype(np.int32), "hi": hi.astype(np.int32)})
-
-    sent = docs.select("id", "text").join(numbers, "id").mapInArrow(send, "shard int, value binary")
-    ranges = sent.groupBy("shard").applyInArrow(settle, "id long, lo int, hi int")
-    return ranges.groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-
-
-def removal_mask(spans: pa.Array, i: int, j: int, first: np.ndarray) -> np.ndarray:
-    """Which units of the rows i:j of a batch are removed."""
-    if isinstance(spans, pa.ChunkedArray):
-        spans = spans.combine_chunks()
-    off = spans.offsets.to_numpy()
-    flat = spans.values
+                lead, of = firsts(row, h, digest)
+                n = np.bincount(of, minlength=len(of))[lead]
+                row, h, lo, hi, begin, end, digest = (x[lead] for x in (row, h, lo, hi, begin, end, digest))
+                shown, _ = firsts(h, digest)
+                at = np.concatenate([[0], np.cumsum(np.where(shown, end - begin, 0))]).astype(np.int32)
+                data = block.data[ragged(begin[shown], (end - begin)[shown])]
+                texts = pa.Array.from_buffers(pa.binary(), len(h), [pa.py_buffer(np.packbits(shown, bitorder="little")), pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(data))])
+                columns = [h.view(np.int64), digest.view(np.int64), ids[row + i], (lo - block.first[row]).astype(np.int32), (hi - lo + window).astype(np.int32), n.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), texts], ["h", "digest", "id", "start", "size", "n", "text"])
+
+    return docs.select("id", "text").join(numbers, "id").mapInArrow(send, "h long, digest long, id long, start int, size int, n int, text binary")
+
+
+def windows_of(t: pa.Table, units: Units, window: int) -> tuple[np.ndarray, ...]:
+    """Of all windows of the texts of (h, text, n, doc, at): row, start in the text, hash with the anchor's, count, document and place of the text's first occurrence."""
+    block = units(*of_texts(t["text"]))
+    count = np.maximum(np.diff(block.first) - window + 1, 0)
+    row = np.repeat(np.arange(len(count)), count)
+    place = ragged(block.first[:-1], count)
+    key = mix(window_hashes(block.values, window)[place] ^ mix(longs(t["h"]).view(np.uint64))[row])
+    start = place - block.first[row]
+    return row, start, key, longs(t["n"])[row], longs(t["doc"])[row], longs(t["at"])[row] + start
+
+
+def compared(t: pa.Table, units: Units, window: int) -> pa.RecordBatch:
+    """Passages of anchors with several texts each: runs of recurring windows that the same texts hold."""
+    row, start, key, n, doc, at = windows_of(t, units, window)
+    order = np.lexsort((at, doc))  # document order
+    _, lead, kind = np.unique(key[order], return_index=True, return_inverse=True)
+    of = np.empty(len(key), np.int64)
+    of[order] = kind
+    times = np.bincount(of, weights=n)
+    holders = np.zeros(len(times), np.uint64)
+    np.add.at(holders, of, mix(row.astype(np.uint64) + np.uint64(1)))
+    lead = order[lead]
+    first_doc, first_at, held, use = doc[lead][of], at[lead][of], holders[of], times[of] > 1
+    on = np.zeros(len(key), bool)  # goes on from the window before
+    on[1:] = use[1:] & use[:-1] & (row[1:] == row[:-1]) & (held[1:] == held[:-1]) & (first_doc[1:] == first_doc[:-1]) & (first_at[1:] == first_at[:-1] + 1)
+    head = np.flatnonzero(use & ~on)
+    tail = np.flatnonzero(use & ~np.append(on[1:], False))
+    h, digest = longs(t["h"]), longs(t["digest"])
+    columns = [h[row[head]], digest[row[head]], start[head].astype(np.int32), (start[tail] + window).astype(np.int32), first_doc[head], first_at[head].astype(np.int32)]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h", "digest", "lo", "hi", "doc", "at"])
+
+
+def passages(found: DataFrame, units: Units, window: int) -> DataFrame:
+    """h, digest, lo, hi, doc, at: runs of recurring windows within each stretch's text, and where they stand first."""
+    texts = found.groupBy("h", "digest").agg(F.min(F.struct("id", "start")).alias("f"), F.sum("n").alias("n"), F.first("size").alias("size"))
+    kinds = texts.groupBy("h").agg(F.count(F.lit(1)).alias("k"))
+    texts = stored(texts.join(kinds, "h").select("h", "digest", F.col("f.id").alias("doc"), F.col("f.start").alias("at"), "n", "size", "k").where("k > 1 or n > 1"))
+    alone = texts.where("k = 1").select("h", "digest", F.lit(0).alias("lo"), F.col("size").alias("hi"), "doc", "at")
+    shown = found.where("text is not null").select("h", "digest", "text")
+    several = texts.where("k > 1").join(shown, ["h", "digest"]).dropDuplicates(["h", "digest"]).select("h", "digest", "text", "n", "doc", "at", "k")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None  # rows come by anchor; the last one's may go on in the next batch
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            t = t if held is None else pa.concat_tables([held, t])
+            h = longs(t["h"])
+            whole = int(np.flatnonzero(h != h[-1])[-1]) + 1 if len(h) and (h != h[-1]).any() else 0
+            if whole:
+                yield compared(t.slice(0, whole), units, window)
+            held = t.slice(whole)
+        if held is not None and held.num_rows:
+            yield compared(held, units, window)
+
+    few = several.where(F.col("k") <= HOT).repartition("h").sortWithinPartitions("h").mapInArrow(compare, "h long, digest long, lo int, hi int, doc long, at int")
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            row, start, key, n, doc, at = windows_of(t, units, window)
+            columns = [key.view(np.int64), longs(t["h"])[row], longs(t["digest"])[row], start.astype(np.int32), n, doc, at.astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "h", "digest", "lo", "n", "doc", "at"])
+
+    each = several.where(F.col("k") > HOT).mapInArrow(spread, "key long, h long, digest long, lo int, n long, doc long, at int")
+    often = each.groupBy("key", "h").agg(F.min(F.struct("doc", "at")).alias("f"), F.sum("n").alias("times")).where("times > 1")
+    many = each.select("key", "h", "digest", "lo").join(often, ["key", "h"]).select("h", "digest", "lo", (F.col("lo") + window).alias("hi"), "f.doc", "f.at")
+    return alone.unionByName(few).unionByName(many)
+
+
+def wanted(found: DataFrame, confirmed: DataFrame) -> DataFrame:
+    """id, passages (array of lo, hi, doc, at, h): what each document may hold, by the first place there.
+
+    A document gets no passage that it holds once and first of all.
+    """
+    at = F.col("start") + F.col("lo")
+    rows = found.select("h", "digest", "id", "start", "n").join(confirmed, ["h", "digest"]).where((F.col("n") > 1) | (F.col("id") != F.col("doc")) | (at != F.col("at")))
+    return rows.groupBy("id").agg(F.collect_list(F.struct(at.alias("lo"), (F.col("start") + F.col("hi")).alias("hi"), "doc", "at", "h")).alias("passages"))
+
+
+def given(column: pa.Array, i: int, j: int) -> Passages:
+    """The passages of the rows i:j of a batch."""
+    off = column.offsets.to_numpy()
+    part = slice(off[i], off[j])
+    field = lambda name: column.values.field(name).to_numpy(zero_copy_only=False)[part]
     row = np.repeat(np.arange(j - i), np.diff(off[i : j + 1]))
-    s = slice(off[i], off[j])
-    edge = np.zeros(first[-1] + 1, np.int64)
-    np.add.at(edge, first[row] + flat.field("lo").to_numpy()[s], 1)
-    np.add.at(edge, first[row] + flat.field("hi").to_numpy()[s], -1)
-    return np.cumsum(edge[:-1]) > 0
+    return Passages(row, field("lo").astype(np.int64), field("hi").astype(np.int64), field("doc"), field("at").astype(np.int64), field("h").view(np.uint64))
 
 
-def without_repeats(docs: DataFrame, units, window: int, gram: int, resolve: Resolver, finish, schema: str, id_col: str, text_col: str) -> DataFrame:
-    """Run the plan and ``finish`` (batches of id, text, spans -> batches of ``schema``, whose first column is id).
+def without_repeats(docs: DataFrame, units: Units, window: int, gram: int, locate: Locator, report, schema: str, id_col: str, text_col: str) -> DataFrame:
+    """Run the plan and ``report`` (block, removed units -> columns of ``schema`` after its first, id).
 
     Returns ``schema`` with id renamed to doc_id, one row for each row of ``docs``.
     """
+    small_batches(docs.sparkSession)
     base, made = numbered(docs, id_col, text_col)
-    spans = removed_ranges(base, units, window, gram, resolve)
-    none = F.array().cast("array<struct<lo:int,hi:int>>")
-    joined = base.select("id", "text").join(spans, "id", "left").select("id", "text", F.coalesce("spans", none).alias("spans"))
+    found = stored(stretches(base, recurring(base, units, window, gram), units, window, gram))
+    none = F.array().cast("array<struct<lo:int,hi:int,doc:bigint,at:int,h:bigint>>")
+    names = [c.split()[0] for c in schema.split(",")]
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = longs(b["id"])
+            for i, j, buf, off in text_blocks(b["text"]):
+                block = units(buf, off)
+                here = given(b["passages"], i, j)
+                gone = locate(block, ids[i:j], here) if len(here.row) else np.zeros(len(block.values), bool)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i:j]), *report(block, gone)], names)
+
+    joined = base.select("id", "text").join(wanted(found, passages(found, units, window)), "id", "left").select("id", "text", F.coalesce("passages", none).alias("passages"))
     done = joined.mapInArrow(finish, schema)
     if not made:
         return done.withColumnRenamed("id", "doc_id")
-    ids = base.select("id", "doc_id", F.xxhash64("text").alias("h"))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"))
+    ids = base.select("id", "doc_id", F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("g"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), F.xxhash64(F.lit(1), text).alias("g"))
     named = done.join(ids, "id").drop("id").alias("n")
-    same = F.col("r.doc_id").eqNullSafe(F.col("n.doc_id")) & (F.col("r.h") == F.col("n.h"))
-    return rows.alias("r").join(named, same).select("n.doc_id", *(F.col(f"n.{c}") for c in done.columns if c != "id"))
+    same = F.col("r.doc_id").eqNullSafe(F.col("n.doc_id")) & (F.col("r.h") == F.col("n.h")) & (F.col("r.g") == F.col("n.g"))
+    return rows.alias("r").join(named, same).select("n.doc_id", *(F.col(f"n.{c}") for c in names if c != "id"))

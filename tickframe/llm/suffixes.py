@@ -1,35 +1,35 @@
 """Substring deduplication on a run-length compressed Burrows-Wheeler index.
 
 Removes every byte that a 100-byte string covers which also starts earlier. The shared plan (``repeats``)
-brings all stretches that may hold equal strings into one shard. There the different stretches are indexed:
-their transform is kept as runs (first row, byte), with the suffix-array samples at both ends of each run,
-and for each block of rows that share their first 100 bytes the smallest text position. All stretches are
-streamed through the index from their ends to their starts, many at a time: a row and a text position
-follow each matching byte by the LF mapping; where the run has another byte, the nearest runs of the wanted
-byte above and below are tried and the sampled end with the longer common prefix goes on (matching
-statistics). Where the match is 100 bytes or longer, the row's block gives the first occurrence; a string
-that is not its own first occurrence is removed.
-
-Defined cases: a null text is empty; texts shorter than the window lose nothing; repeated rows are one
-document; rows with the same id but other texts, or without an id, are ordered by content (null ids last);
-an empty table gives an empty result; matches never cross documents.
+confirms the passages that recur and says which of them each document may hold. The passages of a block of
+documents, copies included, are indexed: their transform is kept as runs (first row, byte), with the text
+positions at both ends of each run. The block's documents are streamed past it, wherever an anchor of a
+passage stands, from their ends to their starts and many at a time: row and text position follow each
+matching byte by the LF mapping; where the run has another byte, the nearest runs of the wanted byte above
+and below are tried and the sampled end with the longer common prefix goes on. That gives the matching
+statistics: the length of the longest match at each byte and a place of it. Where it is 100 or more, the
+passage at that place says where the string stands first in the corpus; anywhere else it is removed.
+
+Defined cases: a null text is empty; texts shorter than the window lose nothing; a very long text is a block
+of its own, indexed in pieces of ``PIECE`` bytes that overlap; repeated rows are one document; rows with the
+same id but other texts, or without an id, are ordered by a hash of the content (null ids last); an empty
+table gives an empty result; matches never cross documents; other columns are not looked at.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tickframe.llm import repeats
-from tickframe.llm.common import mix, text_blocks, window_hashes
 
 WINDOW, GRAM = 100, 32
 #: Bytes of the first ranks: 7 codes of 9 bits fit a signed 64-bit key.
 FIRST_DEPTH = 7
+#: Bytes, beside the overlap, of the pieces in which passages are indexed and documents streamed.
+PIECE = 512
 
 
 def dense(keys: np.ndarray) -> np.ndarray:
@@ -44,178 +44,191 @@ def dense(keys: np.ndarray) -> np.ndarray:
 
 
 class RunLengthIndex:
-    """Index of several texts (bytes ``data``, bounds ``off``), each with an end mark of its own.
+    """Run-length compressed transform of several texts, each with an end mark of its own.
 
-    Positions count the end marks: text t begins at off[t] + t. Codes: 0 an end mark, byte + 1 else; the
-    mark of an earlier text is the smaller one.
+    Kept for each run of equal bytes of the transform: its first row, byte, image under the LF mapping, and the
+    text positions of its first and last row. Positions are those in ``data``, the bytes the texts are cut
+    from (bounds ``lo`` and ``hi``), which is read only to compare text where a match has to change runs.
     """
 
-    def __init__(self, data: np.ndarray, off: np.ndarray, window: int) -> None:
-        n_texts = len(off) - 1
-        self.window, self.begin = window, off[:-1] + np.arange(n_texts)
-        self.codes = codes = np.insert(data.astype(np.int16) + 1, off[1:], 0)
-        n = len(codes)
-        mark = self.begin + np.diff(off)  # places of the end marks
-        own_mark = np.repeat(mark, np.diff(off) + 1)
-        depth = min(FIRST_DEPTH, window)
-        key = np.zeros(n, np.int64)
-        at = np.arange(n)
-        ahead, left = np.concatenate([codes, np.zeros(depth, codes.dtype)]), own_mark - at
-        for k in range(depth):  # codes behind the own end mark don't count
-            key <<= 9
-            key |= ahead[k : k + n] * (left > k)
-        rank = dense(key) + n_texts
-        rank[mark] = np.arange(n_texts)
-        kinds = None
-        longest = int(np.diff(off).max(initial=0)) + 1
-        while True:
-            if depth <= window < 2 * depth or depth == window:  # equal strings of the window's length, by two overlapping halves
-                fits = at + window <= own_mark
-                second = rank[np.minimum(at + window - depth, n - 1)]
-                kinds = np.where(fits, rank * (n + n_texts + 1) + second, -1 - at)
-            if depth > longest:
-                break
-            # past a text's end mark nothing is compared, and marks differ from each other
-            rank = dense(rank * (n + n_texts + 1) + rank[np.minimum(at + depth, own_mark)])
-            rank[mark] = np.arange(n_texts)
-            depth *= 2
-            if kinds is not None and rank.max(initial=0) == n - 1:
-                break
-        sa = np.empty(n, np.int64)
-        sa[rank] = at
-        before_text = np.zeros(n, bool)
-        before_text[self.begin] = True
+    def __init__(self, data: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> None:
+        self.data = data
+        n_texts, size = len(lo), hi - lo + 1
+        position = repeats.ragged(lo, size)  # of each code; an end mark has the end of its text
+        mark = np.cumsum(size) - 1
+        codes = np.zeros(len(position), np.int16)
+        inside = np.ones(len(position), bool)
+        inside[mark] = False
+        codes[inside] = data[position[inside]].astype(np.int16) + 1
+        sa = suffix_order(codes, mark, size)
         bwt = codes[sa - 1]
-        bwt[before_text[sa]] = 0
-        self.run_row = np.flatnonzero(np.concatenate([[True], bwt[1:] != bwt[:-1]])) if n else np.zeros(0, np.int64)
-        self.run_code = bwt[self.run_row].astype(np.int64)
-        size = np.diff(np.append(self.run_row, n))
-        self.top, self.bottom = sa[self.run_row], sa[self.run_row + size - 1]  # samples at both ends
-        self.last_row = self.run_row + size - 1
-        self.run_of = np.repeat(np.arange(len(size), dtype=np.int32), size)  # rank directory: the run of each row
+        first = np.zeros(len(codes), bool)
+        first[mark - size + 1] = True
+        bwt[first[sa]] = 0  # before a text's first byte stands an end mark
+        self.run_row = np.flatnonzero(np.concatenate([[True], bwt[1:] != bwt[:-1]]))
+        self.code = bwt[self.run_row].astype(np.int64)
+        length = np.diff(np.append(self.run_row, len(sa)))
+        self.last_row = self.run_row + length - 1
+        self.top, self.bottom = position[sa[self.run_row]], position[sa[self.last_row]]
+        text_end = np.repeat(hi, size)
+        self.top_end, self.bottom_end = text_end[sa[self.run_row]], text_end[sa[self.last_row]]
         # LF: rows of suffixes that begin with smaller codes, and equal codes in earlier runs
         smaller = np.concatenate([[0], np.cumsum(np.bincount(codes, minlength=257))])
-        order = np.argsort(self.run_code, kind="stable")
-        before = np.cumsum(size[order]) - size[order]
-        group_start = np.searchsorted(self.run_code[order], self.run_code[order])
-        self.lf = np.empty(len(size), np.int64)
-        self.lf[order] = smaller[self.run_code[order]] + before - before[group_start]
-        self.by_code = self.run_code[order] * len(size) + order  # sorted: runs of each code in order
+        order = np.argsort(self.code, kind="stable")
+        before = np.cumsum(length[order]) - length[order]
+        before -= before[np.searchsorted(self.code[order], self.code[order])]
+        self.image = np.empty(len(length), np.int64)
+        self.image[order] = smaller[self.code[order]] + before
+        self.by_code = self.code[order] * len(length) + order  # sorted: the runs of each code in order
         self.by_code_run = order
-        kinds_by_row = kinds[sa]
-        self.block_row = np.flatnonzero(np.concatenate([[True], kinds_by_row[1:] != kinds_by_row[:-1]])) if n else np.zeros(0, np.int64)
-        self.block_first = np.minimum.reduceat(sa, self.block_row) if n else sa
-        values = np.where(codes > 0, repeats.BYTE_VALUES[np.maximum(codes - 1, 0)], mix(at.astype(np.uint64) * np.uint64(2) + np.uint64(1)))
-        self.hashes = window_hashes(values, window)
-
-    def common(self, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
-        """Lengths of the common prefixes of the suffixes at two arrays of positions, up to ``most``."""
-        n, out = len(self.codes), np.zeros(len(a), np.int64)
-        live = np.arange(len(a))
-        for k in range(most):
-            x, y = a[live] + k, b[live] + k
-            ok = (x < n) & (y < n)
-            ok &= self.codes[np.minimum(x, n - 1)] == self.codes[np.minimum(y, n - 1)]
-            ok &= self.codes[np.minimum(x, n - 1)] > 0
-            live = live[ok]
-            if not len(live):
-                break
-            out[live] = k + 1
+
+    def common(self, a: np.ndarray, b: np.ndarray, b_end: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """Lengths of the common prefixes of the texts at ``a`` and ``b``, up to ``most`` each."""
+        out = np.zeros(len(a), np.int64)
+        limit = np.minimum(most, b_end - b)
+        live = np.flatnonzero(limit > 0)
+        while len(live):
+            k = out[live]
+            live = live[self.data[a[live] + k] == self.data[b[live] + k]]
+            out[live] += 1
+            live = live[out[live] < limit[live]]
         return out
 
-    def stream(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each byte of the patterns: row and text position of the longest match that begins there."""
-        rows, places = np.zeros(len(data), np.int64), np.zeros(len(data), np.int64)
-        size = np.diff(off)
+    def statistics(self, patterns: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Matching statistics of ``patterns[lo:hi]``, one after the other: length of the longest match of each suffix,
+        up to the pattern's end, and a position where it stands in the indexed texts."""
+        size = hi - lo
+        out_at = np.cumsum(size) - size
+        lengths, places = np.zeros(int(size.sum()), np.int64), np.zeros(int(size.sum()), np.int64)
         order = np.argsort(-size, kind="stable")
-        ends, size = off[1:][order], size[order]
-        runs = len(self.run_row)
-        q, pos = np.zeros(len(order), np.int64), np.full(len(order), self.top[0] if runs else 0)
-        n_at = np.searchsorted(-size, -np.arange(1, size.max(initial=0) + 1), side="right")
-        for step, n in enumerate(n_at):
-            at = ends[:n] - 1 - step
-            code = data[at].astype(np.int64) + 1
-            row, p = q[:n], pos[:n]
-            run = self.run_of[row].astype(np.int64)
-            off_track = np.flatnonzero(self.run_code[run] != code)
-            if len(off_track):
-                want = code[off_track] * runs + run[off_track]
-                k = np.searchsorted(self.by_code, want)
+        n_at = np.searchsorted(-size[order], -np.arange(1, size.max(initial=0) + 1), side="right")
+        runs = len(self.code)
+        row, at = np.zeros(len(order), np.int64), np.full(len(order), self.top[0])
+        match = np.zeros(len(order), np.int64)
+        for step, n in enumerate(n_at):  # all patterns at once, from their ends
+            place = hi[order[:n]] - 1 - step
+            want = patterns[place].astype(np.int64) + 1
+            run = np.searchsorted(self.run_row, row[:n], side="right") - 1
+            off = np.flatnonzero(self.code[run] != want)
+            if len(off):
+                k = np.searchsorted(self.by_code, want[off] * runs + run[off])
                 up, down = np.maximum(k - 1, 0), np.minimum(k, runs - 1)
-                ok_up = (k > 0) & (self.by_code[up] // runs == code[off_track])
-                ok_down = (k < runs) & (self.by_code[down] // runs == code[off_track])
+                ok_up = (k > 0) & (self.by_code[up] // runs == want[off])
+                ok_down = (k < runs) & (self.by_code[down] // runs == want[off])
                 up, down = self.by_code_run[up], self.by_code_run[down]
-                most = min(step, self.window) + 1
-                length_up = np.where(ok_up, 0, -1)
-                length_down = np.where(ok_down, 0, -1)
-                both = np.flatnonzero(ok_up & ok_down)  # else there is no choice
-                if len(both):
-                    here = p[off_track[both]]
-                    length_up[both] = self.common(here, self.bottom[up[both]], most)
-                    length_down[both] = self.common(here, self.top[down[both]], most)
+                length_up, length_down = np.full(len(off), -1), np.full(len(off), -1)
+                for ok, chosen, sample, sample_end, length in ((ok_up, up, self.bottom, self.bottom_end, length_up), (ok_down, down, self.top, self.top_end, length_down)):
+                    x = np.flatnonzero(ok)
+                    length[x] = self.common(at[off[x]], sample[chosen[x]], sample_end[chosen[x]], match[off[x]])
                 use_up = length_up >= length_down
                 chosen = np.where(use_up, up, down)
-                row[off_track] = np.where(use_up, self.last_row[chosen], self.run_row[chosen])
-                p[off_track] = np.where(use_up, self.bottom[chosen], self.top[chosen])
-                run[off_track] = chosen
-                lost = ~(ok_up | ok_down)  # a byte the index does not hold: start again
-            row[:] = self.lf[run] + row - self.run_row[run]
-            p -= 1
-            if len(off_track) and lost.any():
-                row[off_track[lost]], p[off_track[lost]] = 0, self.top[0]
-            rows[at], places[at] = row, np.maximum(p, 0)
-        return rows, places
-
-    def first_occurrence(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
-        """For each byte of the patterns: the smallest position of the window that begins there, -1 if it is not in the index."""
-        rows, places = self.stream(data, off)
-        out = np.full(len(data), -1, np.int64)
-        own = window_hashes(repeats.BYTE_VALUES[data], self.window)
-        at = repeats.ragged(off[:-1], np.maximum(np.diff(off) - self.window + 1, 0))
-        inside = at[places[at] < len(self.hashes)]
-        hit = inside[self.hashes[places[inside]] == own[inside]]  # the match is as long as the window
-        out[hit] = self.block_first[np.searchsorted(self.block_row, rows[hit], side="right") - 1]
-        return out
-
-
-def resolve(s: repeats.Stretches, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    index = RunLengthIndex(s.data, s.off, window)
-    found = index.first_occurrence(s.data, s.off)
-    row = np.repeat(np.arange(len(s.off) - 1), np.diff(s.off))
-    own = np.arange(len(s.data)) + row  # positions count the end marks
-    at = np.flatnonzero((found >= 0) & (found < own))
-    start = at - s.off[row[at]]
-    heads = np.flatnonzero(np.concatenate([[True], (np.diff(at) != 1) | (np.diff(row[at]) != 0)])) if len(at) else at
-    tails = np.append(heads[1:], len(at)) - 1 if len(at) else at
-    return row[at[heads]], start[heads], start[tails] + window
+                row[off] = np.where(use_up, self.last_row[chosen], self.run_row[chosen])
+                at[off] = np.where(use_up, self.bottom[chosen], self.top[chosen])
+                match[off] = np.maximum(length_up, length_down)  # -1: a byte that no text holds
+                run[off] = chosen
+            row[:n] += self.image[run] - self.run_row[run]
+            at[:n] -= 1
+            match[:n] += 1
+            if len(off):
+                lost = off[~(ok_up | ok_down)]
+                row[lost], at[lost], match[lost] = 0, self.top[0], 0
+            there = out_at[order[:n]] + size[order[:n]] - 1 - step
+            lengths[there], places[there] = match[:n], at[:n]
+        return lengths, places
+
+
+def suffix_order(codes: np.ndarray, mark: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Suffix array of texts that end in marks (code 0, an earlier text's the smaller one), by prefix doubling."""
+    n, n_texts = len(codes), len(mark)
+    at, own_mark = np.arange(n), np.repeat(mark, size)
+    depth = FIRST_DEPTH
+    key = np.zeros(n, np.int64)
+    ahead, left = np.concatenate([codes, np.zeros(depth, codes.dtype)]), own_mark - at
+    for k in range(depth):  # codes behind the own end mark don't count
+        key <<= 9
+        key |= ahead[k : k + n] * (left > k)
+    while True:
+        order = dense(key)
+        if order.max(initial=0) == n - 1:
+            break
+        rank = order + n_texts
+        rank[mark] = np.arange(n_texts)
+        # past a text's end mark nothing is compared, and marks differ from each other
+        key = rank * (n + n_texts + 1) + rank[np.minimum(at + depth, own_mark)]
+        depth *= 2
+    sa = np.empty(n, np.int64)
+    sa[order] = at
+    return sa
+
+
+def pieces(lo: np.ndarray, hi: np.ndarray, length: int, overlap: int) -> tuple[np.ndarray, np.ndarray]:
+    """Stretches cut into pieces of ``length`` and ``overlap`` bytes more, so that each window is in one piece."""
+    count = np.maximum(-(-(hi - lo - overlap) // length), 1)
+    which = np.repeat(np.arange(len(lo)), count)
+    start = lo[which] + (np.arange(len(which)) - (np.cumsum(count) - count)[which]) * length
+    return start, np.minimum(start + length + overlap, hi[which])
+
+
+def united(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Stretches that overlap or touch, as one."""
+    order = np.argsort(lo, kind="stable")
+    lo, reach = lo[order], np.maximum.accumulate(hi[order])
+    head = np.flatnonzero(np.concatenate([[True], lo[1:] > reach[:-1]]))
+    return lo[head], reach[np.append(head[1:], len(lo)) - 1]
+
+
+def locate(block: repeats.Block, ids: np.ndarray, here: repeats.Passages, window: int = WINDOW, gram: int = GRAM) -> np.ndarray:
+    """Which bytes of the documents ``ids`` are in a string that isn't its first occurrence, by the index of the passages."""
+    lo, hi = here.lo + block.first[here.row], here.hi + block.first[here.row]
+    order = np.argsort(lo, kind="stable")
+    lo, hi, doc, at = lo[order], hi[order], here.doc[order], here.at[order]
+    # texts end where their document ends, since a passage does
+    texts = united_by_row(lo, hi, here.row[order])
+    index = RunLengthIndex(block.data, *pieces(*texts, PIECE, window - 1))
+    # documents are streamed wherever one of the index's anchors stands
+    row, h, a, b, _ = repeats.anchors(block, window, gram)
+    near = np.isin(h, here.anchor)
+    patterns = pieces(*united_by_row(a[near], b[near] + window, row[near]), PIECE, window - 1)
+    length, place = index.statistics(block.data, *patterns)
+    start = repeats.ragged(patterns[0], patterns[1] - patterns[0])
+    long = np.flatnonzero(length >= window)
+    start, place = start[long], place[long]
+    # which window of which passage the match begins with, and where that stands first; a window between the
+    # document's passages is one that the document was not given, because it stands there first
+    k = np.maximum(np.searchsorted(lo, place, side="right") - 1, 0)
+    known = (lo[k] <= place) & (place + window <= hi[k])
+    row, there = (np.searchsorted(block.first, x, side="right") - 1 for x in (start, place))
+    first_doc = np.where(known, doc[k], ids[there])
+    first_at = np.where(known, at[k] + place - lo[k], place - block.first[there])
+    first = (ids[row] == first_doc) & (start - block.first[row] == first_at)
+    edge = np.zeros(len(block.values) + 1, np.int64)
+    np.add.at(edge, start[~first], 1)
+    np.add.at(edge, start[~first] + window, -1)
+    return np.cumsum(edge[:-1]) > 0
+
+
+def united_by_row(lo: np.ndarray, hi: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``united``, but a stretch of one document never with one of the next."""
+    a, b = united(lo + row, hi + row)  # a gap between documents
+    back = row[np.searchsorted(lo + row, a)]
+    return a - back, b - back
 
 
 def deduplicate(docs: DataFrame, id_col="doc_id", text_col="text", window: int = WINDOW, gram: int = GRAM, with_bytes: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, binary: a cut may fall inside a character) for every row."""
 
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            n_bytes, n_removed, n_spans, digests, kept = [], [], [], [], []
-            for i, j, buf, off in text_blocks(b["text"]):
-                gone = repeats.removal_mask(b["spans"], i, j, off)
-                head = gone.copy()
-                head[1:] &= ~gone[:-1]
-                inner = off[1:-1][off[1:-1] < len(gone)]
-                head[inner] = gone[inner]  # a run of its own in each document
-                kept_at = np.concatenate([[0], np.cumsum(~gone)])[off]
-                raw = buf[~gone].tobytes()
-                for r in range(j - i):
-                    text = raw[kept_at[r] : kept_at[r + 1]]
-                    digests.append(hashlib.sha256(text).hexdigest())
-                    if with_bytes:
-                        kept.append(text)
-                n_bytes.append(np.diff(off))
-                n_removed.append(np.diff(off) - np.diff(kept_at))
-                n_spans.append(np.diff(np.concatenate([[0], np.cumsum(head)])[off]))
-            if not digests:
-                continue
-            columns = [b["id"], *(pa.array(np.concatenate(x).astype(np.int64)) for x in (n_bytes, n_removed, n_spans)), pa.array(digests)] + [pa.array(kept, pa.binary())] * with_bytes
-            yield pa.RecordBatch.from_arrays(columns, ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_bytes)
+    def report(block: repeats.Block, gone: np.ndarray) -> list[pa.Array]:
+        off = block.first
+        head = gone.copy()
+        head[1:] &= ~gone[:-1]
+        inner = off[1:-1][off[1:-1] < len(gone)]
+        head[inner] = gone[inner]  # a run of its own in each document
+        kept_at = np.concatenate([[0], np.cumsum(~gone)])[off]
+        raw = block.data[~gone].tobytes()
+        kept = [raw[x:y] for x, y in zip(kept_at[:-1].tolist(), kept_at[1:].tolist(), strict=True)]
+        numbers = (np.diff(off), np.diff(off) - np.diff(kept_at), np.diff(np.concatenate([[0], np.cumsum(head)])[off]))
+        columns = [*(pa.array(x.astype(np.int64)) for x in numbers), pa.array([hashlib.sha256(t).hexdigest() for t in kept])]
+        return columns + [pa.array(kept, pa.binary())] * with_bytes
 
     schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_bytes
-    return repeats.without_repeats(docs, repeats.byte_units, window, gram, lambda s: resolve(s, window), finish, schema, id_col, text_col)
+    return repeats.without_repeats(docs, repeats.byte_units, window, gram, lambda *x: locate(*x, window, gram), report, schema, id_col, text_col)
