@@ -147,3 +147,13 @@ def test_common_line_with_many_neighbours(spark, monkeypatch, operator, brute):
         rows.append((i, " ".join(own[:20]) + " " + line + " " + " ".join(end)))
     got = {r[0]: tuple(r)[1:] for r in operator(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == brute(rows)
+
+
+@pytest.mark.parametrize("operator, brute", [(phrases.deduplicate, by_words), (suffixes.deduplicate, by_bytes)])
+def test_lines_that_repeat_within_documents(spark, operator, brute):
+    """Lines in ever new orders: documents hold a line several times, between lines that recur elsewhere."""
+    rng = random.Random(21)
+    lines = [" ".join(f"{chr(97 + k)}{rng.randrange(300)}" for _ in range(26)) for k in range(6)]
+    rows = [(i, "\n".join(rng.choice(lines) if rng.random() < 0.7 else f"own {i} {k}" for k in range(8))) for i in range(40)]
+    got = {r[0]: tuple(r)[1:] for r in operator(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == brute(rows)

@@ -71,10 +71,17 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """``cut`` as Parquet: for tables of which later steps read some columns only."""
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path, compression="zstd")
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """``cut`` as Parquet: for tables of which later steps read some columns only. What was shuffled for it is freed at once."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    free = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(free, None)
+    spark.conf.set(free, "true")
+    try:
+        df.write.parquet(path, compression="zstd")
+    finally:
+        spark.conf.unset(free) if before is None else spark.conf.set(free, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 # ---------------------------------------------------------------------------------------------- text

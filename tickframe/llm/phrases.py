@@ -3,7 +3,7 @@
 Removes every word that a window of 20 words covers whose word sequence also starts earlier. The shared
 plan (``repeats``) confirms the passages that recur and says which of them each document may hold. The
 passages of a block of documents are compiled into Aho-Corasick automata of at most ``AUTOMATON_WORDS``
-words of text each, words as single characters, and the block's documents are streamed whole through all of
+words of text each, each word as two characters, and the block's documents are streamed whole through all of
 them to locate every occurrence; all but the first of each passage in the corpus are removed. Nothing else
 is: what no automaton finds stays.
 
@@ -24,24 +24,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tickframe.llm import repeats
-from tickframe.llm.common import window_hashes
 
 WINDOW, GRAM = 20, 6
-AUTOMATON_WORDS = 1_000_000
-#: Code points for words: from here up, past the surrogates; how many there are.
-FIRST_CHAR, SURROGATES, N_SURROGATES = 0x100, 0xD800, 0x800
-CHARACTERS = 0x110000 - FIRST_CHAR - N_SURROGATES
+AUTOMATON_WORDS = 500_000
+#: Characters for one word, and where the code points of each of them begin. A node of an automaton looks its next
+#: character up one by one, so few different ones are better than one for each word.
+CHARACTERS, FIRST_CHARS = 2, (0x1000, 0x20000)
 
 
 def as_characters(values: np.ndarray, first: np.ndarray) -> str:
-    """One character for each word and a separator (a character no word has) after each row.
-
-    Only beyond ``CHARACTERS`` distinct words do some share one; ``locate`` compares the words in any case.
-    """
-    _, code = np.unique(values, return_inverse=True)
-    code = code % CHARACTERS + FIRST_CHAR
-    code = np.where(code >= SURROGATES, code + N_SURROGATES, code)
-    return np.insert(code, first[1:], 1).astype("<u4").tobytes().decode("utf-32-le")
+    """``CHARACTERS`` characters for each word (other ones in each place) and as many separators after each row."""
+    kinds, code = np.unique(values, return_inverse=True)
+    base = int(np.ceil(np.sqrt(max(len(kinds), 1))))
+    pairs = np.stack([FIRST_CHARS[0] + code // base, FIRST_CHARS[1] + code % base], axis=1).astype("<u4")
+    return np.insert(pairs, first[1:], 1, axis=0).tobytes().decode("utf-32-le")
 
 
 def portions(sizes: np.ndarray, most: int) -> Iterator[slice]:
@@ -54,26 +50,23 @@ def portions(sizes: np.ndarray, most: int) -> Iterator[slice]:
         x = y
 
 
-def locate(block: repeats.Block, ids: np.ndarray, here: repeats.Passages, window: int = WINDOW) -> np.ndarray:
+def locate(block: repeats.Block, ids: np.ndarray, here: repeats.Passages) -> np.ndarray:
     """Which words of the documents ``ids`` are in an occurrence of a passage that isn't its first one."""
     edge = np.zeros(len(block.values) + 1, np.int64)
     text = as_characters(block.values, block.first)
     row_at = block.first[:-1] + np.arange(len(block.first) - 1)  # where rows begin among the characters
-    windows = window_hashes(block.values, window)
     lo, hi = here.lo + block.first[here.row], here.hi + block.first[here.row]
     for part in portions(hi - lo, AUTOMATON_WORDS):
         automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         for k, a, b in zip(range(part.start, part.stop), (lo + here.row)[part].tolist(), (hi + here.row)[part].tolist(), strict=True):
-            automaton.add_word(text[a:b], k)  # of equal passages the last stays: their first occurrence is one
+            automaton.add_word(text[CHARACTERS * a : CHARACTERS * b], k)  # of equal passages the last stays: their first occurrence is one
         automaton.make_automaton()
         hits = np.array(list(automaton.iter(text)), np.int64).reshape(-1, 2)
         which, size = hits[:, 1], (hi - lo)[hits[:, 1]]
-        place = hits[:, 0] + 1 - size
+        place = (hits[:, 0] + 1) // CHARACTERS - size
         row = np.searchsorted(row_at, place, side="right") - 1
         word = place - row
-        # characters may stand for several words, hashes of the passage's first and last windows don't
-        same = (windows[word] == windows[lo[which]]) & (windows[word + size - window] == windows[hi[which] - window])
-        later = same & ((ids[row] != here.doc[which]) | (word - block.first[row] != here.at[which]))
+        later = ((ids[row] != here.doc[which]) | (word - block.first[row] != here.at[which]))
         np.add.at(edge, word[later], 1)
         np.add.at(edge, (word + size)[later], -1)
     return np.cumsum(edge[:-1]) > 0
@@ -93,4 +86,4 @@ def deduplicate(docs: DataFrame, id_col="doc_id", text_col="text", window: int =
         return columns + [pa.array([t.decode() for t in texts], pa.string())] * with_text
 
     schema = "id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
-    return repeats.without_repeats(docs, repeats.word_units, window, gram, lambda *x: locate(*x, window), report, schema, id_col, text_col)
+    return repeats.without_repeats(docs, repeats.word_units, window, gram, locate, report, schema, id_col, text_col)

@@ -168,15 +168,14 @@ def longs(x: pa.Array | pa.ChunkedArray) -> np.ndarray:
 
 @dataclass
 class Passages:
-    """Passages by the documents of a block that may hold them: places [lo, hi) in units of the row's text, the
-    first occurrence in the corpus (document, start), and the anchor."""
+    """Passages by the documents of a block that may hold them: places [lo, hi) in units of the row's text, and
+    the first occurrence in the corpus (document, start)."""
 
     row: np.ndarray
     lo: np.ndarray
     hi: np.ndarray
     doc: np.ndarray
     at: np.ndarray
-    anchor: np.ndarray
 
 
 def numbered(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bool]:
@@ -319,17 +318,17 @@ def passages(found: DataFrame, units: Units, window: int) -> DataFrame:
     each = several.where(F.col("k") > HOT).mapInArrow(spread, "key long, h long, digest long, lo int, n long, doc long, at int")
     often = each.groupBy("key", "h").agg(F.min(F.struct("doc", "at")).alias("f"), F.sum("n").alias("times")).where("times > 1")
     many = each.select("key", "h", "digest", "lo").join(often, ["key", "h"]).select("h", "digest", "lo", (F.col("lo") + window).alias("hi"), "f.doc", "f.at")
-    return alone.unionByName(few).unionByName(many)
+    return stored(alone.unionByName(few).unionByName(many))
 
 
 def wanted(found: DataFrame, confirmed: DataFrame) -> DataFrame:
-    """id, passages (array of lo, hi, doc, at, h): what each document may hold, by the first place there.
+    """id, passages (array of lo, hi, doc, at): what each document may hold, by the first place there.
 
     A document gets no passage that it holds once and first of all.
     """
     at = F.col("start") + F.col("lo")
     rows = found.select("h", "digest", "id", "start", "n").join(confirmed, ["h", "digest"]).where((F.col("n") > 1) | (F.col("id") != F.col("doc")) | (at != F.col("at")))
-    return rows.groupBy("id").agg(F.collect_list(F.struct(at.alias("lo"), (F.col("start") + F.col("hi")).alias("hi"), "doc", "at", "h")).alias("passages"))
+    return rows.groupBy("id").agg(F.collect_list(F.struct(at.alias("lo"), (F.col("start") + F.col("hi")).alias("hi"), "doc", "at")).alias("passages"))
 
 
 def given(column: pa.Array, i: int, j: int) -> Passages:
@@ -338,7 +337,7 @@ def given(column: pa.Array, i: int, j: int) -> Passages:
     part = slice(off[i], off[j])
     field = lambda name: column.values.field(name).to_numpy(zero_copy_only=False)[part]
     row = np.repeat(np.arange(j - i), np.diff(off[i : j + 1]))
-    return Passages(row, field("lo").astype(np.int64), field("hi").astype(np.int64), field("doc"), field("at").astype(np.int64), field("h").view(np.uint64))
+    return Passages(row, field("lo").astype(np.int64), field("hi").astype(np.int64), field("doc"), field("at").astype(np.int64))
 
 
 def without_repeats(docs: DataFrame, units: Units, window: int, gram: int, locate: Locator, report, schema: str, id_col: str, text_col: str) -> DataFrame:
@@ -349,7 +348,7 @@ def without_repeats(docs: DataFrame, units: Units, window: int, gram: int, locat
     small_batches(docs.sparkSession)
     base, made = numbered(docs, id_col, text_col)
     found = stored(stretches(base, recurring(base, units, window, gram), units, window, gram))
-    none = F.array().cast("array<struct<lo:int,hi:int,doc:bigint,at:int,h:bigint>>")
+    none = F.array().cast("array<struct<lo:int,hi:int,doc:bigint,at:int>>")
     names = [c.split()[0] for c in schema.split(",")]
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -29,30 +29,35 @@ WINDOW, GRAM = 100, 32
 #: Bytes of the first ranks: 7 codes of 9 bits fit a signed 64-bit key.
 FIRST_DEPTH = 7
 #: Bytes, beside the overlap, of the pieces in which passages are indexed and documents streamed.
-PIECE = 512
+PIECE = 256
+#: One row in 2**STEP has its run noted.
+STEP = 4
 
 
-def dense(keys: np.ndarray) -> np.ndarray:
-    """Ranks of the values among the distinct ones."""
-    order = np.argsort(keys)
-    new = np.zeros(len(keys), np.int64)
-    sorted_keys = keys[order]
-    new[1:] = sorted_keys[1:] != sorted_keys[:-1]
-    rank = np.empty(len(keys), np.int64)
-    rank[order] = np.cumsum(new)
-    return rank
+def zero_bytes(x: np.ndarray) -> np.ndarray:
+    """How many of the lowest bytes of values other than 0 are 0."""
+    low = x & (~x + np.uint64(1))  # the lowest bit
+    return (np.frexp(low.astype(np.float64))[1] - 1) >> 3
+
+
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one value, zeros behind the end."""
+    padded = np.concatenate([data, np.zeros(16, np.uint8)])
+    return np.lib.stride_tricks.as_strided(padded.view(), (len(data) + 8, 8), (1, 1)).copy().view("<u8").ravel()
 
 
 class RunLengthIndex:
     """Run-length compressed transform of several texts, each with an end mark of its own.
 
     Kept for each run of equal bytes of the transform: its first row, byte, image under the LF mapping, and the
-    text positions of its first and last row. Positions are those in ``data``, the bytes the texts are cut
-    from (bounds ``lo`` and ``hi``), which is read only to compare text where a match has to change runs.
+    text positions of its first and last row. Positions are those in ``data``, the documents' bytes that the texts
+    are cut from (bounds ``lo`` and ``hi``); they are read only to compare text where a match has to change runs,
+    ``most`` bytes of it: matches count as that long where they may be longer.
     """
 
-    def __init__(self, data: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> None:
-        self.data = data
+    def __init__(self, data: np.ndarray, lo: np.ndarray, hi: np.ndarray, most: int = 1 << 30) -> None:
+        self.most = most
+        self.eights = eights(data)
         n_texts, size = len(lo), hi - lo + 1
         position = repeats.ragged(lo, size)  # of each code; an end mark has the end of its text
         mark = np.cumsum(size) - 1
@@ -69,6 +74,8 @@ class RunLengthIndex:
         self.code = bwt[self.run_row].astype(np.int64)
         length = np.diff(np.append(self.run_row, len(sa)))
         self.last_row = self.run_row + length - 1
+        # a sampled directory: the run of each 2**STEP-th row, from which a row's own run is few runs away
+        self.sampled = (np.searchsorted(self.run_row, np.arange(0, len(sa), 1 << STEP), side="right") - 1).astype(np.int32)
         self.top, self.bottom = position[sa[self.run_row]], position[sa[self.last_row]]
         text_end = np.repeat(hi, size)
         self.top_end, self.bottom_end = text_end[sa[self.run_row]], text_end[sa[self.last_row]]
@@ -82,17 +89,30 @@ class RunLengthIndex:
         self.by_code = self.code[order] * len(length) + order  # sorted: the runs of each code in order
         self.by_code_run = order
 
+    def run_of(self, row: np.ndarray) -> np.ndarray:
+        run = self.sampled[row >> STEP].astype(np.int64)
+        for k in reversed(range(STEP + 1)):
+            ahead = np.minimum(run + (1 << k), len(self.run_row) - 1)
+            run = np.where(self.run_row[ahead] <= row, ahead, run)
+        return run
+
     def common(self, a: np.ndarray, b: np.ndarray, b_end: np.ndarray, most: np.ndarray) -> np.ndarray:
         """Lengths of the common prefixes of the texts at ``a`` and ``b``, up to ``most`` each."""
         out = np.zeros(len(a), np.int64)
         limit = np.minimum(most, b_end - b)
         live = np.flatnonzero(limit > 0)
-        while len(live):
-            k = out[live]
-            live = live[self.data[a[live] + k] == self.data[b[live] + k]]
-            out[live] += 1
-            live = live[out[live] < limit[live]]
-        return out
+        x, y = a[live], b[live]
+        last = np.zeros(len(a), np.uint64)
+        while len(live):  # eight bytes at a time
+            other = self.eights[x] ^ self.eights[y]
+            last[live] = other
+            on = np.flatnonzero(other == 0)
+            live, x, y = live[on], x[on] + 8, y[on] + 8
+            out[live] += 8
+            on = np.flatnonzero(out[live] < limit[live])
+            if len(on) < len(live):
+                live, x, y = live[on], x[on], y[on]
+        return np.minimum(out + np.where(last != 0, zero_bytes(last), 0), limit)
 
     def statistics(self, patterns: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Matching statistics of ``patterns[lo:hi]``, one after the other: length of the longest match of each suffix,
@@ -108,7 +128,7 @@ class RunLengthIndex:
         for step, n in enumerate(n_at):  # all patterns at once, from their ends
             place = hi[order[:n]] - 1 - step
             want = patterns[place].astype(np.int64) + 1
-            run = np.searchsorted(self.run_row, row[:n], side="right") - 1
+            run = self.run_of(row[:n])
             off = np.flatnonzero(self.code[run] != want)
             if len(off):
                 k = np.searchsorted(self.by_code, want[off] * runs + run[off])
@@ -116,10 +136,11 @@ class RunLengthIndex:
                 ok_up = (k > 0) & (self.by_code[up] // runs == want[off])
                 ok_down = (k < runs) & (self.by_code[down] // runs == want[off])
                 up, down = self.by_code_run[up], self.by_code_run[down]
-                length_up, length_down = np.full(len(off), -1), np.full(len(off), -1)
-                for ok, chosen, sample, sample_end, length in ((ok_up, up, self.bottom, self.bottom_end, length_up), (ok_down, down, self.top, self.top_end, length_down)):
-                    x = np.flatnonzero(ok)
-                    length[x] = self.common(at[off[x]], sample[chosen[x]], sample_end[chosen[x]], match[off[x]])
+                samples = np.concatenate([self.bottom[up], self.top[down]])
+                ends = np.concatenate([self.bottom_end[up], self.top_end[down]])
+                ok = np.concatenate([ok_up, ok_down])
+                length = np.where(ok, self.common(np.tile(at[off], 2), samples, ends, np.tile(np.minimum(match[off], self.most), 2) * ok), -1)
+                length_up, length_down = length[: len(off)], length[len(off) :]
                 use_up = length_up >= length_down
                 chosen = np.where(use_up, up, down)
                 row[off] = np.where(use_up, self.last_row[chosen], self.run_row[chosen])
@@ -147,20 +168,35 @@ def suffix_order(codes: np.ndarray, mark: np.ndarray, size: np.ndarray) -> np.nd
     for k in range(depth):  # codes behind the own end mark don't count
         key <<= 9
         key |= ahead[k : k + n] * (left > k)
-    while True:
-        order = dense(key)
-        if order.max(initial=0) == n - 1:
-            break
-        rank = order + n_texts
-        rank[mark] = np.arange(n_texts)
-        # past a text's end mark nothing is compared, and marks differ from each other
-        key = rank * (n + n_texts + 1) + rank[np.minimum(at + depth, own_mark)]
+    order = np.argsort(key, kind="stable")
+    start = group_starts(key[order])
+    rank = np.empty(n, np.int64)  # how many suffixes are smaller by their first ``depth`` codes
+    rank[order] = start
+    rank[mark] = np.arange(n_texts)  # marks come first and differ from each other
+    tied = at[(np.bincount(rank, minlength=n)[rank] > 1) & (codes > 0)]
+    while len(tied):  # past a text's end mark nothing is compared
+        key = rank[tied] * n + rank[np.minimum(tied + depth, own_mark[tied])]
+        order = np.argsort(key, kind="stable")
+        tied, key = tied[order], key[order]
+        old = key // n
+        place = np.arange(len(tied))
+        rank[tied] = old + group_starts(key) - group_starts(old)
         depth *= 2
+        alone = group_starts(key) == place
+        alone &= np.append(alone[1:], True)
+        tied = tied[~alone]
     sa = np.empty(n, np.int64)
-    sa[order] = at
+    sa[rank] = at
     return sa
 
 
+def group_starts(x: np.ndarray) -> np.ndarray:
+    """Of values in order: where the first equal one stands."""
+    new = np.ones(len(x), bool)
+    new[1:] = x[1:] != x[:-1]
+    return np.maximum.accumulate(np.where(new, np.arange(len(x)), 0))
+
+
 def pieces(lo: np.ndarray, hi: np.ndarray, length: int, overlap: int) -> tuple[np.ndarray, np.ndarray]:
     """Stretches cut into pieces of ``length`` and ``overlap`` bytes more, so that each window is in one piece."""
     count = np.maximum(-(-(hi - lo - overlap) // length), 1)
@@ -169,12 +205,11 @@ def pieces(lo: np.ndarray, hi: np.ndarray, length: int, overlap: int) -> tuple[n
     return start, np.minimum(start + length + overlap, hi[which])
 
 
-def united(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Stretches that overlap or touch, as one."""
-    order = np.argsort(lo, kind="stable")
-    lo, reach = lo[order], np.maximum.accumulate(hi[order])
-    head = np.flatnonzero(np.concatenate([[True], lo[1:] > reach[:-1]]))
-    return lo[head], reach[np.append(head[1:], len(lo)) - 1]
+def texts(lo: np.ndarray, hi: np.ndarray, row: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Stretches in order, as one where the windows of the next follow on in the same row."""
+    on = (lo[1:] == hi[:-1] - window + 1) & (row[1:] == row[:-1])
+    head = np.flatnonzero(np.concatenate([[True], ~on]))
+    return lo[head], hi[np.append(head[1:], len(lo)) - 1]
 
 
 def locate(block: repeats.Block, ids: np.ndarray, here: repeats.Passages, window: int = WINDOW, gram: int = GRAM) -> np.ndarray:
@@ -182,38 +217,25 @@ def locate(block: repeats.Block, ids: np.ndarray, here: repeats.Passages, window
     lo, hi = here.lo + block.first[here.row], here.hi + block.first[here.row]
     order = np.argsort(lo, kind="stable")
     lo, hi, doc, at = lo[order], hi[order], here.doc[order], here.at[order]
-    # texts end where their document ends, since a passage does
-    texts = united_by_row(lo, hi, here.row[order])
-    index = RunLengthIndex(block.data, *pieces(*texts, PIECE, window - 1))
+    # a text has the windows of passages that follow each other, and no other ones
+    index = RunLengthIndex(block.data, *texts(lo, hi, here.row[order], window), window)
     # documents are streamed wherever one of the index's anchors stands
     row, h, a, b, _ = repeats.anchors(block, window, gram)
-    near = np.isin(h, here.anchor)
-    patterns = pieces(*united_by_row(a[near], b[near] + window, row[near]), PIECE, window - 1)
+    near = np.isin(h, h[np.searchsorted(a, lo, side="right") - 1])
+    patterns = pieces(*texts(a[near], b[near] + window, row[near], window), PIECE, window - 1)
     length, place = index.statistics(block.data, *patterns)
     start = repeats.ragged(patterns[0], patterns[1] - patterns[0])
     long = np.flatnonzero(length >= window)
     start, place = start[long], place[long]
-    # which window of which passage the match begins with, and where that stands first; a window between the
-    # document's passages is one that the document was not given, because it stands there first
-    k = np.maximum(np.searchsorted(lo, place, side="right") - 1, 0)
-    known = (lo[k] <= place) & (place + window <= hi[k])
-    row, there = (np.searchsorted(block.first, x, side="right") - 1 for x in (start, place))
-    first_doc = np.where(known, doc[k], ids[there])
-    first_at = np.where(known, at[k] + place - lo[k], place - block.first[there])
-    first = (ids[row] == first_doc) & (start - block.first[row] == first_at)
+    k = np.searchsorted(lo, place, side="right") - 1  # the passage that the match begins in
+    row = np.searchsorted(block.first, start, side="right") - 1
+    first = (ids[row] == doc[k]) & (start - block.first[row] == at[k] + place - lo[k])
     edge = np.zeros(len(block.values) + 1, np.int64)
     np.add.at(edge, start[~first], 1)
     np.add.at(edge, start[~first] + window, -1)
     return np.cumsum(edge[:-1]) > 0
 
 
-def united_by_row(lo: np.ndarray, hi: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """``united``, but a stretch of one document never with one of the next."""
-    a, b = united(lo + row, hi + row)  # a gap between documents
-    back = row[np.searchsorted(lo + row, a)]
-    return a - back, b - back
-
-
 def deduplicate(docs: DataFrame, id_col="doc_id", text_col="text", window: int = WINDOW, gram: int = GRAM, with_bytes: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, binary: a cut may fall inside a character) for every row."""
 
