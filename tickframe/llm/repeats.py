@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from tickframe.llm.common import mix, small_batches, span_hashes, stored, text_blocks, window_hashes, word_bounds
 
 #: Different texts of one anchor that are compared in one piece; more are counted window by window.
-HOT = 256
+HOT = 1 << 14
 #: Bits that a place takes in a sort key beside its hash: windows are worked through in slices of fewer
 #: places, whose arrays stay in the processor's cache.
 PLACE_BITS = 17
