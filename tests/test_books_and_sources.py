@@ -1,4 +1,5 @@
 import json
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,11 +10,19 @@ from tickframe.sources import normalize as N
 from tickframe.sources import raw as R
 
 
+def feature_book(**settings):
+    b = books.FeatureBook(**settings)
+    levels = lambda x: [(Decimal(p), Decimal(q)) for p, q in x]
+    b.update = lambda us, gen, seq, prev, bids, asks: b.feed(books.Step(False, us, gen, seq, prev, levels(bids), levels(asks)))
+    b.snapshot = lambda us, gen, seq, bids, asks: b.feed(books.Step(True, us, gen, seq, None, levels(bids), levels(asks)))
+    return b
+
+
 def test_feature_book_states():
-    b = books.FeatureBook()
+    b = feature_book()
     assert b.update(1, 1, 101, 100, [(99, 4)], [(101, 1)]) == "BUFFERED"
     assert b.snapshot(2, 1, 100, [(99, 2), (98, 3)], [(101, 3), (102, 4)]) == "ACCEPTED"
-    assert b.sequence == 101 and b.synchronized and b.bids[99] == 4 and b.change == (2, -2, 2, 2)
+    assert b.sequence == 101 and b.synchronized and b.ladder.sides[0][99] == 4 and b.chain.moves == (2, -2, 2, 2)
     epoch, since = b.epoch, b.since
     assert b.snapshot(3, 1, 102, [(99, 2)], [(101, 3)]) == "ACCEPTED" and (b.epoch, b.since) == (epoch, since)
     assert b.snapshot(3, 1, 102, [(99, 2)], [(101, 3)]) == "STALE_SEQUENCE"
@@ -23,8 +32,23 @@ def test_feature_book_states():
     assert b.snapshot(6, 1, 1000, [(99, 2)], [(101, 3)]) == "ACCEPTED" and b.epoch == epoch + 1
     assert b.update(7, 1, 1001, 1000, [(102, 1)], []) == "BOOK_INVALIDATED" and b.error == "crossed"
     assert b.update(8, 2, 1, 0, [], [(101, 1)]) == "BUFFERED" and b.generation == 2
-    small = books.FeatureBook(most_pending=1)
+    small = feature_book(most_waiting=1)
     assert [small.update(1, 0, i, i - 1, [], []) for i in (1, 2)] == ["BUFFERED", "BOOK_INVALIDATED"]
+    assert small.epoch == 1 and not small.waiting
+
+
+def test_feature_book_one_sided_and_gapped_snapshots():
+    b = feature_book()
+    b.update(1, 0, 11, 10, [], [(101, 1)])
+    assert b.snapshot(2, 0, 10, [(99, 1)], []) == "BOOK_INVALIDATED"  # closed, though what waited filled the other side
+    assert b.sequence == 11 and b.ladder.best() == (99, 101) and not b.synchronized
+    b.update(3, 0, 15, 14, [], [])
+    assert b.snapshot(4, 0, 12, [(99, 1)], [(101, 1)]) == "BOOK_INVALIDATED" and b.error == "gap among waiting updates"
+    assert b.snapshot(5, 0, 13, [(101, 1)], [(101, 1)]) == "BOOK_INVALIDATED" and b.error == "crossed"
+    exact = feature_book()
+    exact.snapshot(1, 0, 1, [("0.1", "0.3")], [("0.2", "1")])
+    exact.update(2, 0, 2, 1, [("0.1", "0.1")], [])
+    assert exact.chain.moves[0] == Decimal("-0.2")  # not as binary fractions
 
 
 def test_range_book():
@@ -57,11 +81,11 @@ def test_replayed_books_follow_the_machine(spark):
             rows.append(("E", sym, k, k, k, snap, 0, k, k - 1, [(90.0, 5.0)] if snap else [(91.0 + k % 3, float(k % 4))], [(110.0, 5.0)] if snap else []))
     schema = "exchange string, symbol string, ord long, us long, recv_us long, is_snapshot boolean, generation long, sequence long, previous long, bids array<struct<price:double,qty:double>>, asks array<struct<price:double,qty:double>>"
     got = {(r["symbol"], r["ord"]): r for r in books.replay_books(spark.createDataFrame(rows, schema).repartition(3)).collect()}
-    machine = books.FeatureBook()
+    machine = feature_book()
     for r in rows[:60]:
         status = machine.snapshot(r[3], 0, r[7], r[9], r[10]) if r[5] else machine.update(r[3], 0, r[7], r[8], r[9], r[10])
         assert got["X", r[2]]["status"] == got["Y", r[2]]["status"] == status
-        assert got["X", r[2]]["bid"] == max(machine.bids)
+        assert got["X", r[2]]["bid"] == machine.ladder.best()[0]
 
 
 def records(spark, exchange, channel, *messages):

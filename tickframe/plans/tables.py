@@ -551,3 +551,50 @@ def machine(spark, d):
     bids = F.when(F.col("is_snapshot"), pair(F.lit(90), F.lit(5))).when(F.col("side") == "BID", pair(F.col("price"), F.col("qty"))).otherwise(none)
     asks = F.when(F.col("is_snapshot"), pair(F.lit(110), F.lit(5))).when(F.col("side") == "ASK", pair(F.col("price"), F.col("qty"))).otherwise(none)
     return books.replay_books(e.select("exchange", "symbol", "ord", "us", "recv_us", "is_snapshot", F.lit(0).cast("long").alias("generation"), F.col("n").cast("long").alias("sequence"), (F.col("n") - 1).cast("long").alias("previous"), bids.alias("bids"), asks.alias("asks")))
+
+
+PAIRS = "array<struct<price:string,qty:string>>"
+
+
+def protocol_rows(spark: SparkSession, d: str, cycle: int):
+    """Every event as a row of its book's feed: n counts the rows of a book, m their place in a cycle."""
+    v = view(spark, d)
+    n = F.row_number().over(Window.partitionBy("exchange", "symbol").orderBy("recv_us", "ord")).cast("long")
+    bid = F.array(F.struct(F.lit("99").alias("price"), (F.col("n") % 7 + 1).cast("string").alias("qty")))
+    ask = F.array(F.struct(F.lit("101").alias("price"), (F.col("n") % 5 + 1).cast("string").alias("qty")))
+    return v.withColumn("n", n).withColumn("m", (F.col("n") - 1) % cycle).withColumn("bids", bid.cast(PAIRS)).withColumn("asks", ask.cast(PAIRS))
+
+
+NUMBERED = "SELECT *, row_number() OVER (PARTITION BY exchange, symbol ORDER BY recv_us, ord) AS n FROM view0"
+
+
+@query("sta_01_range_book", sql(f"""SELECT exchange, symbol, ord, CASE WHEN m = 0 THEN CASE WHEN n = 1 THEN 'BUFFERED' ELSE 'SEQUENCE_GAP' END WHEN m < 3 THEN 'BUFFERED' WHEN m = 3 THEN 'SNAPSHOT_APPLIED' WHEN m IN (25, 50) THEN 'STALE' ELSE 'APPLIED' END AS status,
+  CASE WHEN n < 4 THEN 'BUFFERING' WHEN m < 3 THEN 'RESYNC_REQUIRED' ELSE 'LIVE' END AS book_status, CASE WHEN m < 3 THEN -1 WHEN m IN (3, 25, 50) THEN 10 * (n - 1) ELSE 10 * n END AS sequence FROM (SELECT *, (n - 1) % 70 AS m FROM ({NUMBERED}))""", "market"))
+def range_book(spark, d):
+    """Feeds with a gap at the start of every cycle of 70 rows, a snapshot that bridges it three rows later, and repeated updates."""
+    from tickframe.operators import books
+
+    n, m, rows = F.col("n"), F.col("m"), protocol_rows(spark, d, 70)
+    repeats = m.isin(25, 50)
+    last = n - repeats.cast("long")  # a repeated update has the ids of the row before
+    previous = F.when(m == 0, 10 * n - 15).when(m.isin(4, 26, 51) | repeats, 10 * (n - 2)).otherwise(10 * (n - 1))
+    rows = rows.withColumn("is_snapshot", m == 3).withColumn("first_id", 10 * last - 9).withColumn("final_id", F.when(m == 3, 10 * (n - 2) - 4).otherwise(10 * last)).withColumn("previous_id", previous)
+    return books.replay_range_books(rows).select("exchange", "symbol", "ord", "status", "book_status", F.coalesce("sequence", F.lit(-1)).alias("sequence"))
+
+
+@query("sta_02_chain_book", sql(f"""SELECT exchange, symbol, ord, CASE WHEN m = 0 THEN 'SNAPSHOT_APPLIED' WHEN m < 30 THEN 'APPLIED' WHEN m < 40 THEN 'SEQUENCE_GAP' WHEN m = 40 THEN 'SNAPSHOT_APPLIED' WHEN m < 45 THEN 'APPLIED' WHEN m = 45 THEN 'CHECKSUM_MISMATCH' ELSE 'SEQUENCE_GAP' END AS status,
+  CASE WHEN m < 30 OR m BETWEEN 40 AND 44 THEN 'LIVE' ELSE 'RESYNC_REQUIRED' END AS book_status, CASE WHEN m < 30 OR m BETWEEN 40 AND 44 THEN n ELSE -1 END AS sequence, CASE WHEN m < 30 OR m BETWEEN 40 AND 44 THEN 99.0::DOUBLE END AS bid, CASE WHEN m < 30 OR m BETWEEN 40 AND 44 THEN 101.0::DOUBLE END AS ask
+  FROM (SELECT *, (n - 1) % 50 AS m FROM ({NUMBERED}))""", "market"))
+def chain_book(spark, d):
+    """Feeds with a broken chain at the 31st and a wrong checksum at the 46th of every 50 rows; the other rows' checksums hold or are 0."""
+    from tickframe.operators import books
+
+    n, m, rows = F.col("n"), F.col("m"), protocol_rows(spark, d, 50)
+    text = F.concat(F.lit("99:"), F.col("bids")[0]["qty"], F.lit(":101:"), F.col("asks")[0]["qty"])
+    crc = F.when(m == 45, 1).when(n % 3 == 0, 0).otherwise(S.signed_crc32(text))
+    rows = rows.withColumn("is_snapshot", m.isin(0, 40)).withColumn("sequence", n).withColumn("previous", F.when(m == 30, n - 2).otherwise(n - 1)).withColumn("checksum", crc.cast("long"))
+    return books.replay_chain_books(rows).select("exchange", "symbol", "ord", "status", "book_status", F.coalesce("sequence", F.lit(-1)).alias("sequence"), "bid", "ask")
+
+
+also("jn_06_snapshot_bridge", "sta_01_range_book")
+also("srt_07_book_checksum", "sta_02_chain_book")
