@@ -38,6 +38,14 @@ def test_chat_round_trip(spark):
     assert chat.read_back(chat.format_turns(frame.limit(0))).collect() == []
 
 
+def test_loss_digest_follows_the_mask(spark):
+    frame = spark.createDataFrame([(1, 0, "assistant", r"a ### b\\ c")], "conv_id long, turn long, role string, text string")
+    turns = chat.format_turns(frame)
+    whole, part = chat.read_back(turns).first(), chat.read_back(turns.withColumn("content_end", turns["content_begin"] + 1)).first()
+    assert whole["turns_sha256"] == part["turns_sha256"]
+    assert (part["loss_chars"], part["loss_sha256"]) == (1, hashlib.sha256(b"a").hexdigest()) and whole["loss_chars"] > 1
+
+
 def clouds(rng, dim=32):
     base = rng.standard_normal((150, dim))
     near = [base[k] * rng.uniform(0.5, 2) + rng.standard_normal(dim) * np.linalg.norm(base[k]) / np.sqrt(dim) * rng.uniform(0.05, 0.6) for k in rng.integers(0, 40, 300)]

@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -361,3 +362,33 @@ def test_registry_names():
     assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11))
     assert set(registry.oracle_sql()) <= set(names)
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+
+
+def test_kernel_map_and_ridge_equal_plain_ones():
+    """The classifier against the kernel, the Nyström map and the ridge solution written out."""
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(w) for _ in range(rng.randrange(3, 12))) for w in (("the", "and", "house"), ("und", "das", "haus")) * 20] + ["", "é"]
+    labels = ["en", "de"] * 20 + ["en", "de"]
+    flags = np.concatenate([f for _, f in langid.presence_blocks(pa.array(texts))])
+    model = langid.fit(np.packbits(flags, axis=1), labels, landmarks=12, ridge=0.05)
+    grams = [set(np.flatnonzero(f)) for f in flags]
+    kernel = lambda a, b: len(a & b) / np.sqrt(max(len(a), 1) * max(len(b), 1))
+    marks = grams[:12]
+    values, vectors = np.linalg.eigh(np.array([[kernel(a, b) for b in marks] for a in marks]))
+    use = values > 1e-6 * values.max()
+    mapped = np.array([[kernel(a, b) for b in marks] for a in grams]) @ (vectors[:, use] / np.sqrt(values[use]))
+    x = mapped - mapped.mean(axis=0)
+    for k, name in enumerate(model.labels):
+        y = np.array([1.0 if label == name else -1.0 for label in labels])
+        w = np.linalg.solve(x.T @ x + 0.05 * len(x) / 100 * np.eye(x.shape[1]), x.T @ (y - y.mean()))
+        assert np.allclose(model.score(flags)[:, k], x @ w + y.mean(), atol=2e-3)
+
+
+def test_a_language_that_was_not_learned_is_not_recognised(spark):
+    rng = random.Random(6)
+    known = {"en": ["the", "house", "and", "water", "with"], "de": ["das", "haus", "und", "wasser", "mit"], "fr": ["la", "maison", "et", "eau", "avec"], "es": ["una", "casa", "y", "agua", "con"]}
+    rows = [(i, " ".join(rng.choice(w) for _ in range(30)), lang) for i, (lang, w) in enumerate(list(known.items()) * 25)]
+    rows += [(200 + i, "Это дом и вода с нами " * 4, None) for i in range(3)] + [(300, "12 34", None), (301, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = {r["doc_id"] for r in langid.recognised(docs, langid.train(docs)).collect()}
+    assert kept == set(range(100))

@@ -107,11 +107,15 @@ def format_turns(turns: DataFrame, conv_col="conv_id", turn_col="turn", role_col
 TOKEN = re.compile(r"\\(.)|(### )|(: )|(</turn>\n)", re.S)
 
 
+def plain(text: str) -> str:
+    """The text without the template's escapes."""
+    return re.sub(r"\\(.)", r"\1", text, flags=re.S) if "\\" in text else text
+
+
 def read_turn(formatted: str) -> tuple[str, str]:
     """Role and text of one formatted turn, read from its characters alone."""
     assert formatted.startswith("### ") and formatted.endswith("</turn>\n")
     role_end = next(m for m in TOKEN.finditer(formatted, 4) if m[3])
-    plain = lambda s: re.sub(r"\\(.)", r"\1", s, flags=re.S) if "\\" in s else s
     body = formatted[role_end.end() : -len("</turn>\n")]
     return plain(formatted[4 : role_end.start()]), plain(body)
 
@@ -119,7 +123,7 @@ def read_turn(formatted: str) -> tuple[str, str]:
 def read_back(formatted: DataFrame) -> DataFrame:
     """Digests of each conversation from its formatted turns: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars."""
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
-    ordered = formatted.select("conv_id", "turn", "formatted", "loss").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "formatted")
+    ordered = formatted.select("conv_id", "turn", "formatted", "content_begin", "content_end", "loss").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "formatted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
@@ -135,7 +139,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
         for b in batches:
-            for conv, text, loss in zip(b["conv_id"].to_pylist(), b["formatted"].to_pylist(), b["loss"].to_pylist(), strict=True):
+            for conv, text, begin, end, loss in zip(*(b[c].to_pylist() for c in ("conv_id", "formatted", "content_begin", "content_end", "loss")), strict=True):
                 if state is None or conv != key:
                     if state is not None:
                         done()
@@ -144,9 +148,10 @@ def read_back(formatted: DataFrame) -> DataFrame:
                 raw = content.encode()
                 state[0] += 1
                 state[1].update(role.encode() + b"\n" + raw + b"\n")
-                if loss:
-                    state[2] += len(content)
-                    state[3].update(raw)
+                if loss:  # what the mask covers, cut from the formatted bytes
+                    masked = plain(text.encode()[begin:end].decode())
+                    state[2] += len(masked)
+                    state[3].update(masked.encode())
                 state[4] += len(text)
             if len(rows) >= 1000:
                 yield flush()

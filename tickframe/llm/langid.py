@@ -34,6 +34,9 @@ GRAMS = (1, 2, 3)
 #: The bound of the training sample, and how many of it are landmarks.
 SAMPLE_ROWS = 2000
 LANDMARKS = 256
+#: Score that a document's best language has at least where one is recognised. A text that shares no n-gram with the
+#: languages learned scores what the regressions answer to nothing, about 1 / (number of languages).
+LEAST_SCORE = 0.35
 RIDGE = 1e-2
 #: Rows of a presence matrix at a time.
 ROWS = 128
@@ -172,14 +175,14 @@ def predict(docs: DataFrame, model: Model | None, id_col="doc_id", text_col="tex
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
-def recognised(docs: DataFrame, model: Model | None, text_col="text") -> DataFrame:
-    """The rows of ``docs``, whole, whose language is recognised; nothing is joined back."""
+def recognised(docs: DataFrame, model: Model | None, text_col="text", least: float = LEAST_SCORE) -> DataFrame:
+    """The rows of ``docs``, whole, whose language is recognised: some language scores ``least`` or more. Nothing is joined back."""
     small_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            pred, _ = classify(model, b.column(at))
-            yield b.filter(pa.array(pred != UNKNOWN, pa.bool_()))
+            pred, score = classify(model, b.column(at))
+            yield b.filter(pa.array((pred != UNKNOWN) & (score >= least), pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
