@@ -32,7 +32,7 @@ def rows_of(spark, path, name):
     return [r.asDict() for r in tables.QUERIES[name](spark, path).collect()]
 
 
-@pytest.mark.parametrize("name", ["src_04_feature_scan_whole", "srt_04_feature_order_whole"])
+@pytest.mark.parametrize("name", ["src_04_feature_scan_ordered", "srt_04_feature_order"])
 def test_feature_scan_reads_every_decision(spark, events, name):
     key = lambda r: (r["tick_no"], r["symbol"], r["window_ticks"], r["exchange"])
     got = rows_of(spark, events, name)
@@ -42,7 +42,7 @@ def test_feature_scan_reads_every_decision(spark, events, name):
     assert sorted(map(str, got)) == oracle(events, name)
 
 
-@pytest.mark.parametrize(("name", "mode"), [("srt_01_replay_order_whole", "receive"), ("srt_02_event_time_order_whole", "event")])
+@pytest.mark.parametrize(("name", "mode"), [("srt_01_replay_order", "receive"), ("srt_02_event_time_order", "event")])
 def test_replay_order_mixes_channels(spark, events, name, mode):
     records = tables.records(spark, events).collect()
     at = lambda r: r["local_receive_timestamp"] if mode == "receive" else r["exchange_timestamp"]

@@ -2,11 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickframe.functions import scalars as S
 
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share (spark.checkpoint.dir); only a local master may go without one."""
+    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="scratch-")
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
 AUDIT = ["rows", "ids", "payload_bytes", "partitions", "digest_sum"]
 
 
@@ -29,6 +49,20 @@ def feature_audit(snapshots: DataFrame) -> DataFrame:
     )
 
 
+def looks_ahead(tick: int) -> Column:
+    """A snapshot that used a source newer than its decision."""
+    return F.coalesce(F.col("newest_us") > F.col("tick_no") * tick, F.lit(False))
+
+
+def breaks_invariants() -> Column:
+    """A snapshot that is cold without a reason, from the future, or out of a value's range."""
+    rules = (~F.col("is_warm") & (F.size("reason_codes") == 0), F.col("data_age_ms") < 0, F.abs("taker_imbalance") > 1, F.col("spread") <= 0)
+    broken = F.lit(False)
+    for r in rules:
+        broken = broken | F.coalesce(r, F.lit(False))
+    return broken
+
+
 def reason_histogram(snapshots: DataFrame) -> DataFrame:
     return snapshots.select(F.explode("reason_codes").alias("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
@@ -47,8 +81,10 @@ def differences(left: DataFrame, right: DataFrame, key: str = "snapshot_id") ->
 
 
 def new_rows(batch: DataFrame, stored: DataFrame, key: str = "snapshot_id", content: str = "payload_sha256") -> DataFrame:
-    """Rows of a batch that are not stored yet; the same id with other content fails the query."""
+    """Rows of a batch that are not stored yet; the same id with other content, stored or in the batch, fails the query."""
     once = batch.dropDuplicates([key, content])
+    twice = F.count(F.lit(1)).over(Window.partitionBy(key)) > 1
+    once = once.withColumn(content, F.when(twice, F.raise_error(F.lit("an id has two contents in one batch"))).otherwise(F.col(content)))
     old = stored.select(F.col(key).alias("old_id"), F.col(content).alias("old_content"))
     joined = once.join(old, once[key] == F.col("old_id"), "left")
     clash = F.col("old_content").isNotNull() & (F.col("old_content") != F.col(content))
@@ -65,12 +101,7 @@ def write_partitioned(df: DataFrame, root: str, partitions: list[str], sort: lis
 def append_features(batch: DataFrame, root: str, key: str = "snapshot_id", content: str = "payload_sha256") -> None:
     """Idempotent sink: rows whose id is stored are left out, so a rerun adds nothing."""
     spark = batch.sparkSession
-    try:
-        stored = spark.read.parquet(root).select(key, content)
-    except Exception as e:  # nothing stored yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        stored = batch.select(key, content).limit(0)
+    stored = spark.read.parquet(root).select(key, content) if exists(spark, root) else batch.select(key, content).limit(0)
     write_partitioned(new_rows(batch, stored, key, content), root, ["symbol", "exchange"], ["tick_no", "window_ticks", key])
 
 
@@ -93,8 +124,6 @@ def health_as_of(events: DataFrame, ticks: DataFrame, tick: int) -> DataFrame:
     wide = events.where("symbol = '*'").drop("symbol").join(symbols, "exchange").withColumn("own", F.lit(0))
     every = wide.unionByName(events.where("symbol <> '*'").withColumn("own", F.lit(1)))
     enters = every.withColumn("tick_no", F.expr(f"(us + {tick - 1}) div {tick}")).groupBy("exchange", "symbol", "channel", "tick_no").agg(F.max(F.struct("us", "own", "ord", "status")).alias("found"))
-    from pyspark.sql import Window
-
     asked = ticks.join(every.select("exchange", "symbol", "channel").distinct(), ["exchange", "symbol"])
     kind = enters.schema["found"].dataType
     both = enters.withColumn("asked", F.lit(0)).unionByName(asked.select("exchange", "symbol", "channel", "tick_no").withColumn("found", F.lit(None).cast(kind)).withColumn("asked", F.lit(1)))

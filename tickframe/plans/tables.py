@@ -81,31 +81,19 @@ def scan_filter(spark, d):
 @query("src_01_raw_scan_ordered", rsql(f"SELECT record_id, row_number() OVER (ORDER BY recv_us, recv_us, generation, exchange, symbol, channel, sequence_id, record_id) AS place FROM records WHERE {_SCAN}"))
 def raw_scan(spark, d):
     df = records(spark, d).where(SCAN.condition())
-    return df.select("record_id", F.row_number().over(Window.orderBy(*TL.replay_order(df))).cast("long").alias("place"))
+    return TL.placed(df, TL.replay_order(df)).select("record_id", "place")
 
 
 def _ordered(mode: str) -> Query:
-    def run(spark, d):
-        df = records(spark, d).where("channel = 'books'")  # a stream whose order is shown as a row number
-        return df.select("record_id", F.row_number().over(Window.orderBy(*TL.replay_order(df, mode))).cast("long").alias("place"))
-
-    return run
-
-
-for _name, _mode, _at in (("srt_01_replay_order", "RECEIVE_TIME", "recv_us"), ("srt_02_event_time_order", "EVENT_TIME", "coalesce(us, recv_us)")):
-    query(_name, rsql(f"SELECT record_id, row_number() OVER (ORDER BY {_at}, recv_us, generation, exchange, symbol, channel, sequence_id, record_id) AS place FROM records WHERE channel = 'books'"))(_ordered(_mode))
-
-
-def _ordered_whole(mode: str) -> Query:
     def run(spark, d):
         df = records(spark, d)
-        return df.select("record_id", "channel", F.row_number().over(Window.orderBy(*TL.replay_order(df, mode))).cast("long").alias("place"))
+        return TL.placed(df, TL.replay_order(df, mode)).select("record_id", "channel", "place")
 
     return run
 
 
-for _name, _mode, _at in (("srt_01_replay_order_whole", "RECEIVE_TIME", "recv_us"), ("srt_02_event_time_order_whole", "EVENT_TIME", "coalesce(us, recv_us)")):
-    query(_name, rsql(f"SELECT record_id, channel, row_number() OVER (ORDER BY {_at}, recv_us, generation, exchange, symbol, channel, sequence_id, record_id) AS place FROM records"))(_ordered_whole(_mode))
+for _name, _mode, _at in (("srt_01_replay_order", "RECEIVE_TIME", "recv_us"), ("srt_02_event_time_order", "EVENT_TIME", "coalesce(us, recv_us)")):
+    query(_name, rsql(f"SELECT record_id, channel, row_number() OVER (ORDER BY {_at}, recv_us, generation, exchange, symbol, channel, sequence_id, record_id) AS place FROM records"))(_ordered(_mode))
 
 
 @query("src_03_has_channel", rsql("SELECT c AS channel, count(record_id) > 0 AS present FROM (VALUES ('books'), ('trades'), ('none')) w(c) LEFT JOIN records ON channel = c GROUP BY c"))
@@ -129,23 +117,57 @@ _HEX = " || ".join(f"lower(lpad(hex(CAST(d{i} AS BIGINT)), 8, '0'))" for i in re
 
 @query("aud_11_compaction_equivalence", rsql(f"SELECT {_HEX} AS before, {_HEX} AS after, true AS same FROM (SELECT {_LEAF} FROM (SELECT sha256(record_id || chr(31) || props) AS h FROM records)) s{_WITH}"))
 def compaction(spark, d):
-    df = records(spark, d)
-    part, payload = F.concat_ws("/", "exchange", "symbol", "channel"), F.col("raw_payload")
-    again = df.repartition("exchange", "symbol", "channel").sortWithinPartitions("local_receive_timestamp", "record_id")  # how a compacted tree is laid out
-    a = AU.raw_audit(df, "record_id", payload, part).select(F.col("digest_sum").alias("before"))
-    b = AU.raw_audit(again, "record_id", payload, part).select(F.col("digest_sum").alias("after"))
-    return a.crossJoin(b).withColumn("same", F.col("before") == F.col("after"))
+    """A tree written in many files and its compacted copy, both read back."""
+    root = AU.scratch(spark, "raw")
+    records(spark, d).repartition(16).write.parquet(root)
+    parts = ["exchange", "symbol", "channel"]
+    both = AU.compact(spark.read.parquet(root), f"{root}-compact", parts, ["local_receive_timestamp", "record_id"], "record_id", F.col("raw_payload"), F.concat_ws("/", *parts))
+    one = both.agg(F.max(F.when(F.col("side") == "before", F.col("digest_sum"))).alias("before"), F.max(F.when(F.col("side") == "after", F.col("digest_sum"))).alias("after"))
+    return one.withColumn("same", F.col("before") == F.col("after"))
 
 
 also("snk_06_compaction_audit", "aud_11_compaction_equivalence")
-also("aud_03_compare_trees", "aud_11_compaction_equivalence")
-also("jn_10_tree_consistency", "aud_11_compaction_equivalence")
-also("set_04_audit_equality", "aud_11_compaction_equivalence")
 
 
-@query("aud_10_raw_validation", rsql("SELECT 0::BIGINT AS missing_required, 0::BIGINT AS wrong_version, 0::BIGINT AS empty_payload, 0::BIGINT AS wrong_reference, (count(*) - count(DISTINCT record_id))::BIGINT AS repeated_ids FROM records"))
+def two_trees(spark, d):
+    """Two stored trees of the records: the right one lacks some, has some others, and some changed."""
+    body, n = records(spark, d).select("record_id", "exchange", "channel", "raw_payload", "ord"), F.col("ord")
+    changed = F.when(n % 70 == 1, F.concat(F.col("raw_payload"), F.lit(b"!"))).otherwise(F.col("raw_payload"))
+    out = []
+    for side, df in (("left", body.where(n % 90 != 2)), ("right", body.where(n % 50 != 0).withColumn("raw_payload", changed))):
+        path = AU.scratch(spark, side)
+        df.drop("ord").write.parquet(path)
+        out.append(spark.read.parquet(path))
+    return out
+
+
+@query("aud_03_compare_trees", rsql("SELECT record_id, CASE WHEN ord % 50 = 0 THEN 'LEFT_ONLY' WHEN ord % 90 = 2 THEN 'RIGHT_ONLY' ELSE 'DIFFERENT' END AS kind FROM records WHERE (ord % 50 = 0) <> (ord % 90 = 2) OR (ord % 70 = 1 AND ord % 50 <> 0 AND ord % 90 <> 2)"))
+def compare_trees(spark, d):
+    return AU.differences(*two_trees(spark, d), "record_id")
+
+
+also("jn_10_tree_consistency", "aud_03_compare_trees")
+
+
+@query("set_04_audit_equality", rsql("SELECT exchange, channel, count(*) FILTER (WHERE ord % 90 <> 2) = count(*) FILTER (WHERE ord % 50 <> 0) AND count(*) FILTER (WHERE (ord % 50 = 0) <> (ord % 90 = 2) OR ord % 70 = 1 AND ord % 50 <> 0) = 0 AS same FROM records GROUP BY ALL"))
+def audit_equality(spark, d):
+    """Whether the audits of both trees agree, for each venue and channel."""
+    audits = []
+    for side, df in zip(("l", "r"), two_trees(spark, d)):
+        leaf = F.sha2(F.concat(F.col("record_id").cast("binary"), F.lit(b"\x1f"), F.col("raw_payload")), 256)
+        audits.append(df.withColumn("leaf", leaf).groupBy("exchange", "channel").agg(F.count(F.lit(1)).alias("rows"), *S.digest_sum("leaf")).select("exchange", "channel", F.struct("rows", S.carried().alias("digest")).alias(side)))
+    return audits[0].join(audits[1], ["exchange", "channel"], "full").select("exchange", "channel", F.coalesce(F.col("l") == F.col("r"), F.lit(False)).alias("same"))
+
+
+@query("aud_10_raw_validation", rsql("""SELECT count(*) FILTER (WHERE ord % 31 = 0) AS missing_required, count(*) FILTER (WHERE ord % 37 = 0) AS wrong_version, count(*) FILTER (WHERE ord % 41 = 0) AS empty_payload, count(*) FILTER (WHERE ord % 43 = 0) AS wrong_reference, count(*) - count(DISTINCT record_id) AS repeated_ids
+  FROM (SELECT record_id, ord FROM records UNION ALL SELECT record_id, ord FROM records WHERE ord % 47 = 0)"""))
 def validation(spark, d):
-    return R.quality(records(spark, d))
+    """A tree with violations of every rule."""
+    df = records(spark, d)
+    df, n = df.unionByName(df.where("ord % 47 = 0")), F.col("ord")
+    spoil = lambda name, every, value: F.when(n % every == 0, value).otherwise(F.col(name))
+    none = F.lit(None).cast("string")
+    return R.quality(df.withColumn("transport", spoil("transport", 31, none)).withColumn("schema_version", spoil("schema_version", 37, F.lit(9))).withColumn("raw_payload", spoil("raw_payload", 41, F.lit(b""))).withColumn("raw_payload_reference", spoil("raw_payload_reference", 43, F.lit("raw://x"))))
 
 
 @query("agg_39_channel_histogram", rsql("SELECT exchange, channel, count(*) AS n FROM records GROUP BY ALL"))
@@ -287,10 +309,17 @@ def instrument_specs(spark, d):
 also("set_05_required_instruments", "nrm_19_instruments")
 
 
-@query("nrm_20_router_counts", sql(f"SELECT exchange, t AS event_type, count(*) AS n FROM view0, (VALUES ('click', 'TRADE'), ('purchase', 'TRADE'), ('view', 'MARK'), ('view', 'INDEX'), ('view', 'FUNDING'), ('view', 'OPEN_INTEREST'), ('error', 'LIQUIDATION'), ('error', 'LIQUIDATION'), ('signup', 'X')) m(e, t) WHERE event_type = e AND t <> 'X' AND NOT (exchange = '{A}' AND FALSE) GROUP BY ALL HAVING exchange = '{B}' AND t <> 'MARK'", "market"))
+_ROUTES = [(A, e, t) for e, ts in (("click", "TRADE"), ("purchase", "TRADE"), ("view", "MARK INDEX FUNDING OPEN_INTEREST"), ("error", "LIQUIDATION"), ("signup", "BEST")) for t in ts.split()]
+_ROUTES += [(B, e, t) for e, ts in (("click", "TRADE"), ("purchase", "TRADE"), ("view", "MARK INDEX FUNDING OPEN_INTEREST"), ("error", "LIQUIDATION LIQUIDATION"), ("signup", "MARK")) for t in ts.split()]
+
+
+@query("nrm_20_router_counts", sql(f"SELECT exchange, t AS event_type, count(*) AS n FROM view0 JOIN (VALUES {', '.join(str(r) for r in _ROUTES)}) m(x, e, t) ON event_type = e AND exchange = x GROUP BY ALL", "market"))
 def router(spark, d):
-    r = payloads_b(spark, d).withColumn("exchange", F.lit(B)).withColumn("symbol", F.lit("*")).withColumn("channel", F.lit("mixed"))
-    return N.normalize(r, specs(spark)).where("event_type <> 'MARK'").groupBy("exchange", "event_type").agg(F.count(F.lit(1)).alias("n"))
+    """Messages of both venues and of an internal channel through the router."""
+    mixed = lambda df, venue: df.select("recv_us", "raw_payload", F.lit(venue).alias("exchange"), F.lit("*").alias("symbol"), F.lit("mixed").alias("channel"))
+    a, b = mixed(payloads_a(spark, d), A), mixed(payloads_b(spark, d), B)
+    every = a.unionByName(b).unionByName(a.withColumn("channel", F.lit("_lifecycle")))
+    return N.normalize(every, specs(spark)).groupBy("exchange", "event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("nrm_21_symbol_mapping", f"SELECT * FROM (VALUES ('BTCUSDT', '{market.SYMBOLS[0]}'), ('ETHUSDT', '{market.SYMBOLS[1]}'), ('DOGEUSDT', NULL)) t(venue_symbol, symbol)")
@@ -298,10 +327,13 @@ def symbol_mapping(spark, d):
     return spark.createDataFrame([("BTCUSDT",), ("ETHUSDT",), ("DOGEUSDT",)], "venue_symbol string").select("venue_symbol", N.canonical(A, F.col("venue_symbol")).alias("symbol"))
 
 
-@query("jn_05_dimension_lookup", "SELECT n_name, r_name, count(*) AS customers FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL")
-def dimension(spark, d):
-    t = lambda n: spark.read.parquet(f"{d}/{n}.parquet")
-    return t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).groupBy("n_name", "r_name").agg(F.count(F.lit(1)).alias("customers"))
+@query("jn_05_contract_lookup", sql(f"SELECT ord, CASE WHEN ord % 29 = 0 THEN NULL ELSE symbol END AS symbol, CASE WHEN ord % 29 <> 0 THEN round(round(qty, 1) * {_CT}, 8) + 0.0 END AS quantity FROM view0 WHERE exchange = '{B}'", "market"))
+def contract_lookup(spark, d):
+    """Contracts to base quantity by the venue's specifications; an instrument without one has no quantity."""
+    v = view(spark, d).where(F.col("exchange") == B).withColumn("inst", F.when(F.col("ord") % 29 == 0, "XRP-USDT-SWAP").otherwise(_INST()))
+    found = v.drop("symbol").join(specs(spark), F.col("inst") == F.col("venue_symbol"), "left")
+    base = S.base_quantity(F.round("qty", 1), F.col("contract_value").cast("double"), F.col("multiplier").cast("double"))
+    return found.select("ord", "symbol", (F.round(base, 8) + F.lit(0.0)).alias("quantity"))
 
 
 # ------------------------------------------------------------------------------ time and lateness
@@ -354,25 +386,30 @@ def ticks(spark, d):
     return TL.decision_ticks(view(spark, d), DEMO).select("decision_us", "kind")
 
 
-@query("agg_36_collection_invariants", sql("SELECT count(*) AS ticks, CAST(count(*) * 2 * 2 * 3 AS BIGINT) AS expected, CAST(count(*) * 2 * 2 * 3 AS BIGINT) AS single_rows, true AS holds FROM ticks", "ticks"))
+@query("agg_36_collection_invariants", sql(f"SELECT exchange, count(DISTINCT tick_no) * 6 AS expected, count(*) FILTER (WHERE exchange = '{A}' OR tick_no % 10 <> 0) AS single_rows, count(DISTINCT tick_no) * 6 = count(*) FILTER (WHERE exchange = '{A}' OR tick_no % 10 <> 0) AS holds FROM grid GROUP BY ALL", "grid"))
 def invariants(spark, d):
+    """Snapshots of every tick, symbol and window, of which one venue has lost some."""
     i = FE.Inputs(spark, d, DEMO)
-    n = TL.spine(i.all, DEMO).agg(F.count(F.lit(1)).alias("ticks"))
-    rows = FE.trade_flow(i).agg(F.count(F.lit(1)).alias("single_rows"))
-    return n.crossJoin(rows).select("ticks", (F.col("ticks") * 12).alias("expected"), "single_rows", (F.col("ticks") * 12 == F.col("single_rows")).alias("holds"))
+    ticks = TL.spine(i.all, DEMO).agg((F.count(F.lit(1)) * 6).alias("expected"))
+    lost = (F.col("exchange") == B) & (F.col("tick_no") % 10 == 0)
+    rows = FE.trade_flow(i).where(~lost).groupBy("exchange").agg(F.count(F.lit(1)).alias("single_rows"))
+    return rows.crossJoin(F.broadcast(ticks)).select("exchange", "expected", "single_rows", (F.col("expected") == F.col("single_rows")).alias("holds"))
 
 
-@query("flt_10_no_lookahead", sql("SELECT 0::BIGINT AS violations, count(*) AS snapshots FROM grid", "grid"))
+@query("flt_10_no_lookahead", sql("SELECT count(*) FILTER (WHERE tick_no % 11 = 0) AS violations, count(*) AS snapshots FROM grid", "grid"))
 def lookahead(spark, d):
-    one = FE.single_venue(FE.Inputs(spark, d, DEMO))
-    return one.agg(F.count(F.when(F.col("newest_us") > F.col("tick_no") * DEMO.tick, 1)).alias("violations"), F.count(F.lit(1)).alias("snapshots"))
+    """Snapshots, some of them with a source one microsecond after the decision."""
+    late = F.when(F.col("tick_no") % 11 == 0, F.col("tick_no") * DEMO.tick + 1).otherwise(F.col("newest_us"))
+    one = FE.single_venue(FE.Inputs(spark, d, DEMO)).withColumn("newest_us", late)
+    return one.agg(F.count(F.when(AU.looks_ahead(DEMO.tick), 1)).alias("violations"), F.count(F.lit(1)).alias("snapshots"))
 
 
-@query("flt_09_snapshot_invariants", sql("SELECT 0::BIGINT AS violations", "market"))
+@query("flt_09_snapshot_invariants", sql("SELECT exchange, count(*) FILTER (WHERE tick_no % 13 = 0 OR tick_no % 17 = 0) AS violations FROM grid GROUP BY ALL", "grid"))
 def snapshot_invariants(spark, d):
-    one = FE.single_venue(FE.Inputs(spark, d, DEMO))
-    silent = ~F.col("is_warm") & (F.size("reason_codes") == 0)
-    return one.agg(F.count(F.when(silent | (F.col("data_age_ms") < 0) | (F.abs("taker_imbalance") > 1) | (F.col("spread") <= 0), 1)).alias("violations"))
+    """Snapshots, some of them from the future or with an imbalance above 1."""
+    t = F.col("tick_no")
+    one = FE.single_venue(FE.Inputs(spark, d, DEMO)).withColumn("data_age_ms", F.when(t % 13 == 0, -1).otherwise(F.col("data_age_ms"))).withColumn("taker_imbalance", F.when(t % 17 == 0, 1.5).otherwise(F.col("taker_imbalance")))
+    return one.groupBy("exchange").agg(F.count(F.when(AU.breaks_invariants(), 1)).alias("violations"))
 
 
 @query("flt_08_level_validation", sql("SELECT exchange, symbol, count(*) FILTER (WHERE qty < 0 OR price <= 0) AS bad, count(*) FILTER (WHERE qty = 0) AS deletes FROM levels0 GROUP BY ALL", "market"))
@@ -403,22 +440,13 @@ def feature_filter(spark, d):
 also("set_06_reason_intersection", "src_05_feature_scan_filter")
 
 
-@query("src_04_feature_scan_ordered", sql("SELECT exchange, symbol, CAST(window_ticks AS BIGINT) AS window_ticks, tick_no, row_number() OVER (ORDER BY tick_no, symbol, window_ticks, exchange) AS place FROM grid WHERE tick_no % 24 = 0", "grid"))
+@query("src_04_feature_scan_ordered", sql("SELECT exchange, symbol, CAST(window_ticks AS BIGINT) AS window_ticks, tick_no, row_number() OVER (ORDER BY tick_no, symbol, window_ticks, exchange) AS place FROM grid", "grid"))
 def feature_scan(spark, d):
-    g = FE.Inputs(spark, d, DEMO).grid.where("tick_no % 24 = 0")
-    return g.select("exchange", "symbol", F.col("window_ticks").cast("long").alias("window_ticks"), "tick_no", F.row_number().over(Window.orderBy("tick_no", "symbol", "window_ticks", "exchange")).cast("long").alias("place"))
-
-
-also("srt_04_feature_order", "src_04_feature_scan_ordered")
-
-
-@query("src_04_feature_scan_whole", sql("SELECT exchange, symbol, CAST(window_ticks AS BIGINT) AS window_ticks, tick_no, row_number() OVER (ORDER BY tick_no, symbol, window_ticks, exchange) AS place FROM grid", "grid"))
-def feature_scan_whole(spark, d):
     g = FE.Inputs(spark, d, DEMO).grid
-    return g.select("exchange", "symbol", F.col("window_ticks").cast("long").alias("window_ticks"), "tick_no", F.row_number().over(Window.orderBy("tick_no", "symbol", "window_ticks", "exchange")).cast("long").alias("place"))
+    return TL.placed(g.select("exchange", "symbol", F.col("window_ticks").cast("long").alias("window_ticks"), "tick_no"), ["tick_no", "symbol", "window_ticks", "exchange"])
 
 
-also("srt_04_feature_order_whole", "src_04_feature_scan_whole")
+also("srt_04_feature_order", "src_04_feature_scan_ordered")
 
 
 @query("win_07_history_reset", sql("SELECT exchange, symbol, segment, count(*) AS samples FROM (SELECT exchange, symbol, sum(CASE WHEN k % 7 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY exchange, symbol ORDER BY recv_us, ord) AS segment FROM view0 WHERE event_type = 'signup') GROUP BY ALL".replace("segment, count", "CAST(segment AS BIGINT) AS segment, count"), "market"))
@@ -460,7 +488,19 @@ def anti(spark, d):
     return spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey").join(old, F.col("o_orderkey") == F.col("l_orderkey"), "left_anti")
 
 
-also("snk_02_idempotent_sink", "jn_07_dedup_anti_join")
+
+
+@query("snk_02_idempotent_sink", sql("SELECT exchange, symbol, count(*) AS rows, CAST(sum(ord) AS BIGINT) AS ords FROM view0 GROUP BY ALL", "market"))
+def idempotent_sink(spark, d):
+    """Batches that overlap, one of them written twice and with repeated rows: each snapshot is stored once."""
+    v = view(spark, d)
+    rows = v.select("exchange", "symbol", "ord", F.expr(f"us div {HOUR}").alias("tick_no"), F.lit(1).alias("window_ticks"), F.concat(F.lit("s"), "ord").alias("snapshot_id"), F.sha2(F.concat_ws("/", "ord", "k"), 256).alias("payload_sha256"))
+    root = AU.scratch(spark, "features")
+    for batch in (rows.where("ord % 3 <> 0"), rows.where("ord % 3 <> 0"), rows.unionByName(rows.where("ord % 5 = 0"))):
+        AU.append_features(batch, root)
+    return spark.read.parquet(root).groupBy("exchange", "symbol").agg(F.count(F.lit(1)).alias("rows"), F.sum("ord").alias("ords"))
+
+
 _HEALTH = "SELECT exchange, CASE WHEN ord % 5 = 0 THEN '*' ELSE symbol END AS symbol, 'c' || (ord % 2) AS channel, us, ord, CASE k % 4 WHEN 0 THEN 'STALE' WHEN 1 THEN 'DISCONNECTED' ELSE 'CONNECTED' END AS status FROM view0 WHERE event_type = 'signup'"
 
 
@@ -491,8 +531,9 @@ also("set_03_distinct_sources", "jn_09_source_coverage")
 def journal(spark, d):
     v = view(spark, d)
     fields = ["exchange", "symbol", "event_type", "us", "recv_us", "ord"]
-    j = R.journal_record(v, fields)
-    back = R.journal_events(j, ", ".join(f"{c} {t}" for c, t in v.select(*fields).dtypes))
+    path = AU.scratch(spark, "journal")
+    R.journal_record(v, fields).write.partitionBy("channel").parquet(path)
+    back = R.journal_events(spark.read.parquet(path), ", ".join(f"{c} {t}" for c, t in v.select(*fields).dtypes))
     end = v.agg(F.max("recv_us").alias("end_us"), F.count(F.lit(1)).alias("events"))
     out = back.crossJoin(F.broadcast(end)).groupBy("events").agg(F.count(F.lit(1)).alias("journal_rows"), F.count(F.when(F.col("recv_us") > F.col("end_us"), 1)).alias("after_end"))
     return out.withColumn("clean", (F.col("events") == F.col("journal_rows")) & (F.col("after_end") == 0))

@@ -35,8 +35,8 @@ class ScanFilter:
         if self.channels and self.channels & self.excluded_channels:
             raise ValueError("a channel is both wanted and excluded")
 
-    def condition(self) -> Column:
-        """Plain comparisons on stored columns, so that partitions are pruned and filters pushed down."""
+    def condition(self, folders: frozenset[str] = frozenset()) -> Column:
+        """Plain comparisons on stored columns, pushed down; those on partition folders (``p_<column>``) prune them."""
         c, at = F.lit(True), F.col("local_receive_timestamp")
         if self.start_us is not None:
             c &= at >= F.timestamp_micros(F.lit(self.start_us))
@@ -45,13 +45,16 @@ class ScanFilter:
         for name, allowed in (("exchange", self.exchanges), ("symbol", self.symbols), ("channel", self.channels)):
             if allowed is not None:
                 c &= F.col(name).isin(*sorted(allowed))
+                if f"p_{name}" in folders:
+                    c &= F.col(f"p_{name}").isin(*sorted(allowed))
         return c & ~F.col("channel").isin(*sorted(self.excluded_channels)) if self.excluded_channels else c
 
 
 def read(spark: SparkSession, root: str, filters: ScanFilter | None = None) -> DataFrame:
-    """Scan a tree of raw records in the fixed schema, never inferred."""
-    df = spark.read.schema(RAW_SCHEMA).parquet(root)
-    return df.where((filters or ScanFilter()).condition())
+    """Scan a tree of raw records in the fixed schema, never inferred; its folders, if any, are pruned."""
+    folders = [f for f in ("p_exchange", "p_symbol", "p_channel") if f in spark.read.parquet(root).columns]
+    df = spark.read.schema(", ".join([RAW_SCHEMA, *(f"{f} string" for f in folders)])).parquet(root)
+    return df.where((filters or ScanFilter()).condition(frozenset(folders))).drop(*folders)
 
 
 def has_channel(df: DataFrame, channel: str) -> bool:
