@@ -95,7 +95,7 @@ def records(spark, exchange, channel, *messages):
 
 def test_venue_a_messages(spark):
     messages = [
-        {"stream": "s", "data": {"e": "aggTrade", "E": 1, "a": 9, "s": "BTCUSDT", "p": "64955.50", "q": "0.002", "f": 1, "l": 1, "T": 1700000000123, "m": True}},
+        {"stream": "s", "data": {"e": "aggTrade", "E": 1, "a": 9, "s": "BTCUSDT", "p": "31007.25", "q": "0.004", "f": 1, "l": 1, "T": 1700000000123, "m": True}},
         {"stream": "s", "data": {"e": "depthUpdate", "E": 2, "T": 3, "s": "BTCUSDT", "U": 1, "u": 2, "pu": 0, "b": [["1.5", "0.000"]], "a": [["2.5", "1"]]}},
         {"lastUpdateId": 7, "E": 4, "T": 5, "bids": [["1", "2"], ["0.5", "1"]], "asks": [["3", "1"]]},
         {"e": "markPriceUpdate", "E": 6, "s": "BTCUSDT", "p": "10", "i": "9", "r": "0.0001", "T": 7},
@@ -106,12 +106,38 @@ def test_venue_a_messages(spark):
     e = {r["event_type"]: r for r in N.venue_a(records(spark, N.VENUE_A, "x", *messages)).collect()}
     assert sorted(e) == ["BOOK_SNAPSHOT", "BOOK_UPDATE", "FUNDING", "INDEX", "LIQUIDATION", "MARK", "OPEN_INTEREST", "TRADE"]
     t = e["TRADE"]
-    assert (t["side"], float(t["price"]), float(t["quantity"]), t["us"], t["symbol"]) == ("SELL", 64955.5, 0.002, 1700000000123000, "BTC-USDT-PERP")
+    assert (t["side"], float(t["price"]), float(t["quantity"]), t["us"], t["symbol"]) == ("SELL", 31007.25, 0.004, 1700000000123000, "BTC-USDT-PERP")
     assert float(e["BOOK_UPDATE"]["bids"][0]["quantity"]) == 0 and e["BOOK_UPDATE"]["previous_sequence_id"] == "0"
     assert (e["LIQUIDATION"]["side"], float(e["LIQUIDATION"]["price"]), float(e["LIQUIDATION"]["quantity"])) == ("LONG", 9910, 1)
     assert float(e["FUNDING"]["rate"]) == 0.0001 and e["FUNDING"]["price"] is None
 
 
+def test_rejected_messages_are_counted_and_large_prices_kept(spark):
+    trade = {"e": "aggTrade", "a": 1, "s": "BTCUSDT", "p": "12345678901.5", "q": "1", "T": 1, "m": False}
+    bad = [{**trade, "p": "x"}, {**trade, "s": "DOGEUSDT"}, {"e": "unheard"}, {"openInterest": "1", "symbol": "BTCUSDT"}]
+    a = records(spark, N.VENUE_A, "x", trade, *bad)
+    arg = {"channel": "trades", "instId": "BTC-USDT-SWAP"}
+    row = {"instId": "BTC-USDT-SWAP", "tradeId": "1", "px": "98765432109.25", "sz": "1", "side": "buy", "ts": "5"}
+    b = records(spark, N.VENUE_B, "x", {"arg": arg, "data": [row, {**row, "instId": "XRP-USDT-SWAP"}, {**row, "sz": None}]}, {"arg": {**arg, "channel": "books"}, "action": "update", "data": [{"asks": [], "bids": [], "ts": "5"}]})
+    every = a.unionByName(b)
+    events = N.normalize(every, tables.specs(spark)).collect()
+    assert sorted(str(e["price"]) for e in events) == ["12345678901.5000000000", "98765432109.2500000000"]
+    left = {(r["exchange"], r["kind"]): r["n"] for r in N.rejected(every, tables.specs(spark)).collect()}
+    assert left == {(N.VENUE_A, "aggTrade"): 2, (N.VENUE_A, "unheard"): 1, (N.VENUE_A, "openInterest"): 1, (N.VENUE_B, "trades"): 2}
+
+
+def test_sink_refuses_two_contents_in_one_batch_and_scans_prune(spark, tmp_path):
+    schema = "snapshot_id string, exchange string, symbol string, tick_no long, window_ticks int, payload_sha256 string"
+    with pytest.raises(Exception, match="two contents"):
+        audit.append_features(spark.createDataFrame([("a", "E", "S", 1, 1, "x"), ("a", "E", "S", 1, 1, "y")], schema), str(tmp_path / "t"))
+    raw = spark.createDataFrame([(f"r{i}", "EF"[i % 2], "S", "c") for i in range(8)], "record_id string, exchange string, symbol string, channel string")
+    audit.write_partitioned(raw, str(tmp_path / "raw"), ["exchange", "symbol", "channel"], ["record_id"])
+    one = R.read(spark, str(tmp_path / "raw"), R.ScanFilter(exchanges=frozenset("E")))
+    assert one.count() == 4 and len(one.inputFiles()) >= 1
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "p_exchange" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
 def test_venue_b_messages(spark):
     arg = lambda c: {"channel": c, "instId": "BTC-USDT-SWAP"}
     messages = [
@@ -119,7 +145,7 @@ def test_venue_b_messages(spark):
         {"arg": arg("books"), "action": "snapshot", "data": [{"asks": [["2", "10", "0", "1"]], "bids": [["1", "10", "0", "1"]], "ts": "5", "checksum": 1, "seqId": 4, "prevSeqId": -1}]},
         {"arg": arg("books"), "action": "update", "data": [{"asks": [], "bids": [], "ts": "5", "seqId": 4, "prevSeqId": 4}]},
         {"arg": arg("open-interest"), "data": [{"instId": "BTC-USDT-SWAP", "oi": "1", "oiCcy": "0.12345678901234567", "oiUsd": "2", "ts": "5"}]},
-        {"arg": arg("liquidation-orders"), "data": [{"instId": "BTC-USDT-SWAP", "details": [{"bkPx": "64900.1", "posSide": "short", "side": "buy", "sz": "13", "ts": "7"}]}, {"instId": "XRP-USDT-SWAP", "details": [{"bkPx": "1", "posSide": "long", "side": "sell", "sz": "1", "ts": "7"}]}]},
+        {"arg": arg("liquidation-orders"), "data": [{"instId": "BTC-USDT-SWAP", "details": [{"bkPx": "31050.5", "posSide": "short", "side": "buy", "sz": "13", "ts": "7"}]}, {"instId": "XRP-USDT-SWAP", "details": [{"bkPx": "1", "posSide": "long", "side": "sell", "sz": "1", "ts": "7"}]}]},
     ]
     e = {r["event_type"]: r for r in N.venue_b(records(spark, N.VENUE_B, "x", *messages), tables.specs(spark)).collect()}
     assert sorted(e) == ["BOOK_SNAPSHOT", "LIQUIDATION", "OPEN_INTEREST", "TRADE"]
