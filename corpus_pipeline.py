@@ -4,7 +4,7 @@
 written as Parquet and read again as the next one's ``docs``. All but the last return the columns of
 ``documents``. Every stage works on all rows that its predecessor kept:
 
-1. documents whose language can't be told (no letter, or no text) go;
+1. documents whose language can't be told (no letter, no text, or no learned language that scores enough) go;
 2. of each near-duplicate group the row with the smallest id stays;
 3. documents that hold a benchmark item go;
 4. secrets are replaced by a mask, the documents stay;
