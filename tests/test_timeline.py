@@ -99,3 +99,30 @@ def test_partitioning_does_not_matter(spark):
 def test_config_rejects_odd_windows():
     with pytest.raises(ValueError):
         Config(tick=10, windows=(15,))
+
+
+def test_accepted_in_slices_equals_one_pass(spark):
+    rows = spark.createDataFrame([("A", "S", i, (i * 7919) % 300, i * 10 + (i * 31) % 40) for i in range(400)] + [("B", "S", 1, 5, 3_000)], "exchange string, symbol string, ord long, us long, recv_us long")
+    want, high = [], {}
+    for r in sorted(rows.collect(), key=lambda r: (r["exchange"], r["recv_us"], r["ord"])):
+        if r["us"] >= high.get(r["exchange"], r["us"]):
+            want.append((r["exchange"], r["ord"]))
+        high[r["exchange"]] = max(r["us"], high.get(r["exchange"], r["us"]))
+    width = TL.SLICE
+    try:
+        for TL.SLICE in (7, 100, width):
+            got = TL.accepted(rows)
+            assert got.columns == rows.columns
+            assert sorted((r["exchange"], r["ord"]) for r in got.collect()) == sorted(want)
+    finally:
+        TL.SLICE = width
+    assert TL.accepted(rows.limit(0)).count() == 0
+
+
+def test_sums_of_the_window_before_come_in_the_same_pass(spark):
+    df = spark.createDataFrame(events(3), SCHEMA)
+    both = TL.window_aggregate(df, CFG, list(CFG.windows), {"s": df["v"]}, before={"b": df["v"]})
+    got = {tuple(r[:3]): (r["window_ticks"], r["n"], r["s"], r["n_before"], r["b"]) for r in both.select("exchange", "window_ticks", "tick_no", "n", "s", "n_before", "b").collect()}
+    for back, (n, s) in ((False, (1, 2)), (True, (3, 4))):
+        alone = {(r["exchange"], r["window_ticks"], r["tick_no"]): (r["n"], r["s"]) for r in TL.window_aggregate(df, CFG, list(CFG.windows), {"s": df["v"]}, previous=back).collect()}
+        assert {k: (v[n], v[s]) for k, v in got.items() if v[n] is not None} == alone

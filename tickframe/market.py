@@ -34,6 +34,10 @@ def base(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: The stream that an event belongs to.
+FAMILY = "CASE WHEN event_type IN ('click', 'purchase') THEN 'trade' WHEN event_type = 'view' THEN 'quote' WHEN event_type = 'error' THEN 'liquidation' WHEN event_type = 'signup' THEN 'book' END"
+
+
 def trades(view: DataFrame) -> DataFrame:
     side = F.when(F.col("event_type") == "click", "BUY").otherwise("SELL")
     return view.where(F.col("event_type").isin("click", "purchase")).select(*KEYS, F.lit("trade").alias("family"), "us", "recv_us", "ord", "price", "qty", side.alias("side"), (F.col("price") * F.col("qty")).alias("notional"))

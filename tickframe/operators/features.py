@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from tickframe import market
 from tickframe.config import Config
 from tickframe.functions import scalars as S
 from tickframe.operators import timeline as TL
+from tickframe.operators.audit import scratch
 
 KEYS = TL.KEYS
 CELL = [*KEYS, "window_ticks", "tick_no"]
@@ -24,39 +27,74 @@ class Inputs:
 
     def __init__(self, spark, sf_dir: str, cfg: Config) -> None:
         self.cfg = cfg
-        view = market.base(spark, sf_dir)
-        self.all = view
-        self.trades = TL.accepted(market.trades(view))
-        self.quotes = TL.accepted(market.quotes(view))
-        self.liquidations = TL.accepted(market.liquidations(view))
-        self.levels = TL.accepted(market.levels(view))
-        keys = spark.createDataFrame([(e, s) for e in (market.VENUE_A, market.VENUE_B) for s in market.SYMBOLS], "exchange string, symbol string")
-        self.keys = keys
-        self.spine = TL.known_spine(view, cfg)
-        self.grid = TL.grid(self.spine, cfg, keys)
-
+        self.all = market.base(spark, sf_dir)
+        self.keys = spark.createDataFrame([(e, s) for e in (market.VENUE_A, market.VENUE_B) for s in market.SYMBOLS], "exchange string, symbol string")
+        self.spine = TL.known_spine(self.all, cfg)
+        self.grid = TL.grid(self.spine, cfg, self.keys)
+
+    @cached_property
+    def events(self) -> DataFrame:
+        """Accepted events of all streams, found in one pass and written down by type, for every operator to read."""
+        rows = self.all.withColumn("family", F.expr(market.FAMILY)).where("family is not null")
+        return kept(TL.accepted(rows, [*KEYS, "family"]), "event_type")
+
+    @cached_property
+    def trades(self) -> DataFrame:
+        return market.trades(self.events)
+
+    @cached_property
+    def quotes(self) -> DataFrame:
+        return market.quotes(self.events)
+
+    @cached_property
+    def liquidations(self) -> DataFrame:
+        return market.liquidations(self.events)
+
+    @cached_property
+    def levels(self) -> DataFrame:
+        return market.levels(self.events)
+
+    @cached_property
     def prices(self) -> DataFrame:
-        """Trades and marks as one stream of prices, late ones of the joint stream dropped again."""
+        """Trades and marks as one stream of prices, late ones of the joint stream dropped again, with the squared log return ``r2``."""
         one = self.trades.select(*KEYS, "us", "recv_us", "ord", "price").unionByName(self.quotes.select(*KEYS, "us", "recv_us", "ord", F.col("mark").alias("price")))
-        return TL.accepted(one)
+        stream = TL.with_before(kept(TL.accepted(one)), KEYS, {"last": F.struct("recv_us", "ord", "price")})
+        by = Window.partitionBy(*KEYS, "slice").orderBy("recv_us", "ord")
+        prev = F.when(F.row_number().over(by) == 1, F.col("last.price")).otherwise(F.lag("price").over(by))
+        return kept(stream.select(*KEYS, "us", "recv_us", "ord", "price", F.pow(F.ln(F.col("price") / prev), 2).alias("r2")))
+
+    @cached_property
+    def quotes_at(self) -> DataFrame:
+        """The latest quote at every decision, and at each window's start."""
+        return TL.as_of_lags(self.quotes, self.ticks(), self.cfg, ["oi", "funding", "mark", "index"], [0, *(self.cfg.ticks(w) for w in self.cfg.windows)])
 
     def ticks(self) -> DataFrame:
         """Every key and decision."""
         return self.spine.crossJoin(F.broadcast(self.keys)).select(*KEYS, "tick_no")
 
 
-def trade_flow(i: Inputs) -> DataFrame:
+def kept(df: DataFrame, *folders: str) -> DataFrame:
+    """The rows, written to the shared folder and read back by their schema."""
+    path = scratch(df.sparkSession, "market")
+    df.write.partitionBy(*folders).parquet(path, compression="zstd") if folders else df.write.parquet(path, compression="zstd")
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+# Operators by window take the cells to add their columns to (``on``), by default the bare grid.
+
+
+def trade_flow(i: Inputs, on: DataFrame | None = None) -> DataFrame:
     """Aggressive notionals, imbalance, impulses against the previous window, average and large share."""
     cfg, n = i.cfg, F.col("notional")
     sums = {"buy": F.when(F.col("side") == "BUY", n).otherwise(0.0), "sell": F.when(F.col("side") == "SELL", n).otherwise(0.0), "large": F.when(n >= cfg.large_trade, n).otherwise(0.0)}
-    now = TL.window_aggregate(i.trades, cfg, list(cfg.windows), sums).withColumnRenamed("n", "trades")
-    before = TL.window_aggregate(i.trades, cfg, list(cfg.windows), {"prev_total": n}, previous=True).withColumnRenamed("n", "prev_trades")
-    j = i.grid.join(now, CELL, "left").join(before, CELL, "left")
+    flow = TL.window_aggregate(i.trades, cfg, list(cfg.windows), sums, before={"prev_total": n}).withColumnsRenamed({"n": "trades", "n_before": "prev_trades"})
+    on = i.grid if on is None else on
+    j = on.join(flow, CELL, "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     total = zero("buy") + zero("sell")
     count, prev = F.coalesce("trades", F.lit(0)), F.coalesce("prev_trades", F.lit(0))
     return j.select(
-        *CELL,
+        *on.columns,
         zero("buy").alias("aggressive_buy_notional"),
         zero("sell").alias("aggressive_sell_notional"),
         S.imbalance(zero("buy"), zero("sell")).alias("taker_imbalance"),
@@ -68,22 +106,20 @@ def trade_flow(i: Inputs) -> DataFrame:
     )
 
 
-def price(i: Inputs) -> DataFrame:
+def price(i: Inputs, on: DataFrame | None = None) -> DataFrame:
     """Return, realized volatility (pairs within the window), count of prices."""
-    cfg = i.cfg
-    by = Window.partitionBy(*KEYS).orderBy("recv_us", "ord")
-    stream = i.prices().withColumn("prev", F.lag("price").over(by)).withColumn("r2", F.pow(F.ln(F.col("price") / F.col("prev")), 2))
+    cfg, on = i.cfg, i.grid if on is None else on
     point = F.struct("us", "recv_us", "ord", "price", "r2")
-    w = TL.window_aggregate(stream, cfg, list(cfg.windows), {"squares": F.col("r2"), "returns": F.when(F.col("r2").isNotNull(), 1).otherwise(0)}, {"first": point}, {"last": point})
+    w = TL.window_aggregate(i.prices, cfg, list(cfg.windows), {"squares": F.col("r2"), "returns": F.when(F.col("r2").isNotNull(), 1).otherwise(0)}, {"first": point}, {"last": point})
     own = F.coalesce(F.col("first.r2"), F.lit(0.0))
     valid = F.col("returns") - F.when(F.col("first.r2").isNotNull(), 1).otherwise(0)
     out = w.select(*CELL, (S.ratio("last.price", "first.price") - 1).alias("return_value"), F.when(valid >= 2, F.sqrt(F.greatest(F.col("squares") - own, F.lit(0.0)))).alias("realized_volatility"), F.col("n").alias("prices"))
-    return i.grid.join(out, CELL, "left").withColumn("prices", F.coalesce("prices", F.lit(0)).cast("long"))
+    return on.join(out, CELL, "left").withColumn("prices", F.coalesce("prices", F.lit(0)).cast("long"))
 
 
 def price_range(i: Inputs) -> DataFrame:
     """Trailing high and low over the breakout lookback, for each decision."""
-    w = TL.window_aggregate(i.prices(), i.cfg, [i.cfg.breakout], {}, {"trailing_low": F.col("price")}, {"trailing_high": F.col("price")})
+    w = TL.window_aggregate(i.prices, i.cfg, [i.cfg.breakout], {}, {"trailing_low": F.col("price")}, {"trailing_high": F.col("price")})
     return i.ticks().join(w.drop("window_ticks", "n"), [*KEYS, "tick_no"], "left")
 
 
@@ -91,7 +127,7 @@ def atr(i: Inputs) -> DataFrame:
     """Mean true range of the bars of the period; null with fewer than 2 prices."""
     cfg = i.cfg
     keys = [*KEYS, "bar"]
-    stream = i.prices().withColumn("bar", F.expr(f"us div {cfg.atr_bar}"))
+    stream = i.prices.withColumn("bar", F.expr(f"us div {cfg.atr_bar}"))
     bars = TL.window_aggregate(stream, cfg, [cfg.atr_period], {}, {"low": F.col("price")}, {"high": F.col("price"), "close": F.struct("us", "recv_us", "ord", "price")}, keys=keys)
     by = Window.partitionBy(*KEYS, "tick_no").orderBy("bar")
     prev = F.lag("close.price").over(by)
@@ -104,24 +140,22 @@ def atr(i: Inputs) -> DataFrame:
 def move_in_atr(i: Inputs) -> DataFrame:
     """(last - first) of the window over the period's ATR."""
     point = F.struct("us", "recv_us", "ord", "price")
-    w = TL.window_aggregate(i.prices(), i.cfg, list(i.cfg.windows), {}, {"first": point}, {"last": point})
+    w = TL.window_aggregate(i.prices, i.cfg, list(i.cfg.windows), {}, {"first": point}, {"last": point})
     moved = w.select(*CELL, (F.col("last.price") - F.col("first.price")).alias("move"))
     return i.grid.join(moved, CELL, "left").join(atr(i), [*KEYS, "tick_no"]).select(*CELL, S.ratio("move", "atr").alias("recent_move_atr"))
 
 
-def open_interest(i: Inputs) -> DataFrame:
-    """Latest open interest, its change since T - w and its age."""
-    cfg = i.cfg
-    ticks = i.ticks()
-    now = TL.as_of(i.quotes, ticks, cfg, ["oi"]).withColumnRenamed("us", "oi_us")
-    j = i.grid.join(now, [*KEYS, "tick_no"], "left")
-    anchors = None
-    for w in cfg.windows:
-        a = TL.as_of(i.quotes, ticks, cfg, ["oi"], lag_ticks=cfg.ticks(w)).select(*KEYS, "tick_no", F.lit(cfg.ticks(w)).alias("window_ticks"), F.col("oi").alias("anchor"))
-        anchors = a if anchors is None else anchors.unionByName(a)
-    j = j.join(anchors, CELL, "left")
-    age = F.greatest(F.lit(0), F.col("tick_no") * cfg.tick - F.col("oi_us")) / F.lit(1000.0)
-    return j.select(*CELL, "oi", "oi_us", (F.col("oi") - F.col("anchor")).alias("oi_change"), F.when(F.col("oi").isNotNull(), S.ratio("oi", "anchor") - 1).alias("oi_pct_change"), age.alias("oi_age_ms"))
+def open_interest(i: Inputs, on: DataFrame | None = None) -> DataFrame:
+    """Latest open interest, its change since T - w and its age; funding rate and mark / index - 1 too."""
+    cfg, on = i.cfg, i.grid if on is None else on
+    lag = F.col("window_ticks")
+    anchor = F.coalesce(*(F.when(lag == cfg.ticks(w), F.col(f"at_{cfg.ticks(w)}.oi")) for w in cfg.windows))
+    j = on.join(i.quotes_at.withColumnRenamed("at_0", "q"), [*KEYS, "tick_no"], "left").withColumn("anchor", anchor)
+    oi, age = F.col("q.oi"), F.greatest(F.lit(0), F.col("tick_no") * cfg.tick - F.col("q.us")) / F.lit(1000.0)
+    return j.select(
+        *on.columns, oi.alias("oi"), F.col("q.us").alias("oi_us"), (oi - F.col("anchor")).alias("oi_change"), F.when(oi.isNotNull(), S.ratio(oi, "anchor") - 1).alias("oi_pct_change"), age.alias("oi_age_ms"),
+        F.col("q.us").alias("quote_us"), F.col("q.funding").alias("funding_rate"), (S.ratio("q.mark", "q.index") - 1).alias("premium"),
+    )
 
 
 def premium(i: Inputs) -> DataFrame:
@@ -130,11 +164,11 @@ def premium(i: Inputs) -> DataFrame:
     return q.select(*KEYS, "tick_no", F.col("us").alias("quote_us"), F.col("funding").alias("funding_rate"), (S.ratio("mark", "index") - 1).alias("premium"))
 
 
-def liquidation(i: Inputs) -> DataFrame:
-    n = F.col("notional")
+def liquidation(i: Inputs, on: DataFrame | None = None) -> DataFrame:
+    n, on = F.col("notional"), i.grid if on is None else on
     w = TL.window_aggregate(i.liquidations, i.cfg, list(i.cfg.windows), {"l": F.when(F.col("position") == "LONG", n).otherwise(0.0), "s": F.when(F.col("position") == "SHORT", n).otherwise(0.0)})
     long, short = F.coalesce("l", F.lit(0.0)), F.coalesce("s", F.lit(0.0))
-    return i.grid.join(w, CELL, "left").select(*CELL, long.alias("long_notional"), short.alias("short_notional"), (long + short).alias("activity"), F.coalesce("n", F.lit(0)).cast("long").alias("liquidations"))
+    return on.join(w, CELL, "left").select(*on.columns, long.alias("long_notional"), short.alias("short_notional"), (long + short).alias("activity"), F.coalesce("n", F.lit(0)).cast("long").alias("liquidations"))
 
 
 def level_changes(i: Inputs) -> DataFrame:
@@ -186,7 +220,7 @@ def book(i: Inputs) -> DataFrame:
     return i.ticks().join(out, [*KEYS, "tick_no"], "left")
 
 
-def book_flow(i: Inputs) -> DataFrame:
+def book_flow(i: Inputs, on: DataFrame | None = None) -> DataFrame:
     """Order-flow imbalance, liquidity changes, and recovery after the first removal of the window."""
     cfg, d = i.cfg, F.col("delta")
     changes = level_changes(i)
@@ -198,11 +232,12 @@ def book_flow(i: Inputs) -> DataFrame:
     wide = per.select("*", F.explode(F.array(*(F.lit(cfg.ticks(x)) for x in cfg.windows))).alias("window_ticks")).where("vs <= es - 1 + window_ticks")
     at = wide.withColumn("tick_no", F.explode(F.sequence("vs", F.col("es") - 1 + F.col("window_ticks")))).select(*CELL, "us", "added")
     after = at.join(w.select(*CELL, "t0"), CELL).where("us > t0").groupBy(*CELL).agg(F.sum("added").alias("after"))
-    j = i.grid.join(w, CELL, "left").join(after, CELL, "left")
+    on = i.grid if on is None else on
+    j = on.join(w, CELL, "left").join(after, CELL, "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     seconds = (F.col("tick_no") * cfg.tick - F.col("t0")) / F.lit(1e6)
     return j.select(
-        *CELL, (zero("bid_change") - zero("ask_change")).alias("ofi"), zero("bid_change").alias("bid_liquidity_change"), zero("ask_change").alias("ask_liquidity_change"),
+        *on.columns, (zero("bid_change") - zero("ask_change")).alias("ofi"), zero("bid_change").alias("bid_liquidity_change"), zero("ask_change").alias("ask_liquidity_change"),
         zero("added").alias("liquidity_added"), zero("removed").alias("liquidity_removed"), F.when(F.col("t0").isNotNull(), S.ratio(zero("after"), seconds)).alias("recovery_per_second"),
     )
 
@@ -212,8 +247,10 @@ Z_METRICS = ("taker_imbalance", "ofi", "return_value", "oi_change", "premium", "
 
 def metrics(i: Inputs) -> DataFrame:
     """All raw metrics of the grid in one wide table."""
-    j = trade_flow(i).join(price(i), CELL).join(book_flow(i), CELL).join(open_interest(i), CELL).join(liquidation(i), CELL)
-    return with_segments(i, j.join(premium(i), [*KEYS, "tick_no"], "left").join(book(i), [*KEYS, "tick_no"], "left"))
+    wide = None
+    for group in (trade_flow, price, book_flow, liquidation, open_interest):
+        wide = group(i, wide)
+    return with_segments(i, wide.join(book(i), [*KEYS, "tick_no"], "left"))
 
 
 def with_segments(i: Inputs, wide: DataFrame) -> DataFrame:
@@ -229,10 +266,8 @@ def history_keys(wide: DataFrame) -> list[str]:
 
 
 def with_zscores(wide: DataFrame, cfg: Config) -> DataFrame:
-    """z-scores and warm flags of all metrics: the windows share one partitioning, so one shuffle serves all."""
-    for m in Z_METRICS:
-        wide = TL.prior_zscore(wide, m, cfg.ticks(cfg.lookback), history_keys(wide), f"{m}_z")
-    return wide
+    """z-scores and warm flags of all metrics: the windows share one partitioning and one sort."""
+    return TL.prior_zscores(wide, {m: f"{m}_z" for m in Z_METRICS}, cfg.ticks(cfg.lookback), history_keys(wide))
 
 
 def single_venue(i: Inputs) -> DataFrame:

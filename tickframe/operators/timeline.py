@@ -28,15 +28,32 @@ def with_slots(events: DataFrame, tick: int) -> DataFrame:
     return events.withColumn("es", up("us")).withColumn("vs", F.greatest(up("us"), up("recv_us")))
 
 
+#: Width of the receive-time slices in which running values are computed.
+SLICE = 3_600_000_000
+
+
+def with_before(events: DataFrame, keys: list[str], carry: dict[str, Column], width: int | None = None) -> DataFrame:
+    """The events with their ``slice`` of receive time and, for each of ``carry``, its maximum over all earlier slices.
+
+    A running value over a whole stream is then what was before its slice and what the slice adds, so the windows that
+    follow are as many as keys times slices, and no task holds a stream. ``keys`` hold no nulls.
+    """
+    sliced = events.withColumn("slice", F.expr(f"recv_us div {width or SLICE}"))
+    tops = sliced.groupBy(*keys, "slice").agg(*(F.max(c).alias(k) for k, c in carry.items()))
+    earlier = Window.partitionBy(*keys).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)  # a row for each slice
+    return sliced.join(tops.select(*keys, "slice", *(F.max(k).over(earlier).alias(k) for k in carry)), [*keys, "slice"], "left")
+
+
 def accepted(events: DataFrame, keys: list[str] = KEYS, policy: str = "drop", lateness: int = 0) -> DataFrame:
     """Events of each stream that are not late in ingest order (recv_us, ord).
 
     drop: an event before the running maximum of its stream is late; insert: only if by more than ``lateness``.
     """
-    order = Window.partitionBy(*keys).orderBy("recv_us", "ord").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy(*keys, "slice").orderBy("recv_us", "ord").rowsBetween(Window.unboundedPreceding, -1)
     limit = lateness if policy == "insert" else 0
-    high = F.max("us").over(order)
-    return events.withColumn("high_us", high).where(F.col("high_us").isNull() | (F.col("us") >= F.col("high_us") - limit)).drop("high_us")
+    sliced = with_before(events, keys, {"before_us": F.col("us")})
+    high = F.greatest("before_us", F.max("us").over(order))  # nulls are skipped
+    return sliced.withColumn("high_us", high).where(F.col("high_us").isNull() | (F.col("us") >= F.col("high_us") - limit)).select(*events.columns)
 
 
 def admissibility(events: DataFrame, keys: list[str], lateness: int, retention: int) -> DataFrame:
@@ -87,54 +104,76 @@ def grid(ticks: DataFrame, cfg: Config, keys: DataFrame) -> DataFrame:
     return ticks.crossJoin(F.broadcast(keys)).select("*", windows)
 
 
-def window_aggregate(events: DataFrame, cfg: Config, windows: list[int], sums: dict[str, Column] | None = None, mins: dict[str, Column] | None = None, maxs: dict[str, Column] | None = None, keys: list[str] = KEYS, previous: bool = False) -> DataFrame:
-    """Sums, minima and maxima over (T - w, T], or over (T - 2w, T - w] when ``previous``, with n (rows)."""
-    sums, mins, maxs = sums or {}, mins or {}, maxs or {}
+def window_aggregate(events: DataFrame, cfg: Config, windows: list[int], sums: dict[str, Column] | None = None, mins: dict[str, Column] | None = None, maxs: dict[str, Column] | None = None, keys: list[str] = KEYS, previous: bool = False, before: dict[str, Column] | None = None) -> DataFrame:
+    """Sums, minima and maxima over (T - w, T], or over (T - 2w, T - w] when ``previous``, with n (rows).
+
+    ``before``: sums over (T - 2w, T - w] found in the same pass, with n_before; n is null where only these are.
+    """
+    sums, mins, maxs, older = sums or {}, mins or {}, maxs or {}, before or {}
     partial = with_slots(events, cfg.tick).groupBy(*keys, "es", "vs").agg(
-        F.count(F.lit(1)).alias("n"), *(F.sum(c).alias(k) for k, c in sums.items()), *(F.min(c).alias(k) for k, c in mins.items()), *(F.max(c).alias(k) for k, c in maxs.items())
+        F.count(F.lit(1)).alias("n"), *(F.sum(c).alias(k) for k, c in (sums | older).items()), *(F.min(c).alias(k) for k, c in mins.items()), *(F.max(c).alias(k) for k, c in maxs.items())
     )
-    w = F.explode(F.array(*(F.lit(cfg.ticks(x)) for x in windows))).alias("window_ticks")
-    wide = partial.select("*", w)
-    low = F.greatest(F.col("vs"), F.col("es") + (F.col("window_ticks") if previous else F.lit(0)))
-    high = F.col("es") - 1 + F.col("window_ticks") * (2 if previous else 1)
+    frames = F.array(*(F.struct(F.lit(cfg.ticks(x)).alias("window_ticks"), F.lit(back).alias("back")) for x in windows for back in ((0, 1) if older else (int(previous),))))
+    wide = partial.select("*", F.explode(frames).alias("_frame")).select("*", "_frame.*")
+    low = F.greatest(F.col("vs"), F.col("es") + F.col("window_ticks") * F.col("back"))
+    high = F.col("es") - 1 + F.col("window_ticks") * (F.col("back") + 1)
     ticks = wide.withColumn("_from", low).withColumn("_to", high).where("_from <= _to").withColumn("tick_no", F.explode(F.sequence("_from", "_to")))
+    now = (lambda c: F.when(F.col("back") == 0, F.col(c))) if older else F.col
+    then = lambda c: F.sum(F.when(F.col("back") == 1, F.col(c)))
     return ticks.groupBy(*keys, "window_ticks", "tick_no").agg(
-        F.sum("n").alias("n"), *(F.sum(k).alias(k) for k in sums), *(F.min(k).alias(k) for k in mins), *(F.max(k).alias(k) for k in maxs)
+        F.sum(now("n")).alias("n"), *(F.sum(now(k)).alias(k) for k in sums), *(F.min(now(k)).alias(k) for k in mins), *(F.max(now(k)).alias(k) for k in maxs), *([then("n").alias("n_before"), *(then(k).alias(k) for k in older)] if older else [])
     )
 
 
-def as_of(events: DataFrame, ticks: DataFrame, cfg: Config, payload: list[str], keys: list[str] = KEYS, lag_ticks: int = 0) -> DataFrame:
-    """For each row of ``ticks`` (keys, tick_no; each once): the latest event with us <= T - lag that T sees.
+def as_of_lags(events: DataFrame, ticks: DataFrame, cfg: Config, payload: list[str], lags: list[int], keys: list[str] = KEYS) -> DataFrame:
+    """For each row of ``ticks`` (keys, tick_no; each once) and lag: the latest event with us <= T - lag that T sees.
 
-    Events enter at their slot; one running maximum of (us, ord, payload) for each key over slots and
-    ticks in order finds the latest, so no pair of event and tick is ever formed.
+    Columns ``at_<lag>``: (us, ord, payload), null if there is none. Events enter at their slot; one running maximum
+    for each key over slots and ticks in order finds the latest, so no pair of event and tick is ever formed, and all
+    lags share one pass.
     """
-    enters = F.greatest(F.col("vs"), F.col("es") + lag_ticks)
-    top = F.max(F.struct("us", "ord", *payload)).alias("found")
-    entering = with_slots(events, cfg.tick).withColumn("tick_no", enters).groupBy(*keys, "tick_no").agg(top)
-    kind = entering.schema["found"].dataType
-    asked = ticks.select(*keys, "tick_no").withColumn("found", F.lit(None).cast(kind)).withColumn("asked", F.lit(1))
+    entry = F.explode(F.array(*(F.struct(F.lit(x).alias("lag"), F.greatest(F.col("vs"), F.col("es") + x).alias("tick_no")) for x in lags)))
+    copies = with_slots(events, cfg.tick).select(*keys, F.struct("us", "ord", *payload).alias("_row"), entry.alias("_entry")).select(*keys, "_row", "_entry.*")
+    entering = copies.groupBy(*keys, "tick_no").agg(*(F.max(F.when(F.col("lag") == x, F.col("_row"))).alias(f"at_{x}") for x in lags))
+    asked = ticks.select(*keys, "tick_no", *(F.lit(None).cast(entering.schema[f"at_{x}"].dataType).alias(f"at_{x}") for x in lags), F.lit(1).alias("asked"))
     order = Window.partitionBy(*keys).orderBy("tick_no").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     both = entering.withColumn("asked", F.lit(0)).unionByName(asked)
-    return both.withColumn("found", F.max("found").over(order)).where("asked = 1").select(*keys, "tick_no", F.col("found.us").alias("us"), *(F.col(f"found.{p}").alias(p) for p in payload))
+    return both.select(*keys, "tick_no", "asked", *(F.max(f"at_{x}").over(order).alias(f"at_{x}") for x in lags)).where("asked = 1").drop("asked")
 
 
-def prior_zscore(rows: DataFrame, value: str, lookback_ticks: int, keys: list[str], name: str = "z") -> DataFrame:
-    """z and warm flag of each value against its prior history.
+def as_of(events: DataFrame, ticks: DataFrame, cfg: Config, payload: list[str], keys: list[str] = KEYS, lag_ticks: int = 0) -> DataFrame:
+    """``as_of_lags`` for one lag, its columns by name."""
+    at = as_of_lags(events, ticks, cfg, payload, [lag_ticks], keys)
+    return at.select(*keys, "tick_no", *(F.col(f"at_{lag_ticks}.{p}").alias(p) for p in ("us", *payload)))
+
+
+def prior_zscores(rows: DataFrame, names: dict[str, str], lookback_ticks: int, keys: list[str]) -> DataFrame:
+    """z and warm flag of each value (column: name of its z) against its prior history, all in the same two windows.
 
     History: non-null samples before T within (t - lookback, t], t being the time of the last of them;
     population deviation; null for fewer than 2 samples or no variance. Warm: the earliest of them is at
     T - lookback or before and z is known.
     """
     by = Window.partitionBy(*keys).orderBy("tick_no")
-    back = by.rangeBetween(-(lookback_ticks - 1), 0)
-    v = F.col(value)
-    stats = F.struct(F.count(v).over(back).alias("n"), F.avg(v).over(back).alias("m"), F.stddev_pop(v).over(back).alias("s"), F.min(v).over(back).alias("lo"), F.max(v).over(back).alias("hi"), F.min(F.when(v.isNotNull(), F.col("tick_no"))).over(back).alias("t0"))
-    kept = rows.withColumn("_stats", F.when(v.isNotNull(), stats))
-    prior = kept.withColumn("_prior", F.last("_stats", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, -1)))
-    p = F.col("_prior")
-    z = F.when((p["n"] >= 2) & (p["hi"] > p["lo"]), F.try_divide(v - p["m"], p["s"]))
-    return prior.withColumn(name, z).withColumn(f"{name}_warm", F.coalesce(z.isNotNull() & (p["t0"] <= F.col("tick_no") - lookback_ticks), F.lit(False))).drop("_stats", "_prior")
+    back, older = by.rangeBetween(-(lookback_ticks - 1), 0), by.rowsBetween(Window.unboundedPreceding, -1)
+
+    def stats(c: str) -> Column:
+        v = F.col(c)
+        return F.struct(F.count(v).over(back).alias("n"), F.avg(v).over(back).alias("m"), F.stddev_pop(v).over(back).alias("s"), F.min(v).over(back).alias("lo"), F.max(v).over(back).alias("hi"), F.min(F.when(v.isNotNull(), F.col("tick_no"))).over(back).alias("t0"))
+
+    held = rows.select("*", *(F.when(F.col(c).isNotNull(), stats(c)).alias(f"_{c}") for c in names))
+    prior = held.select(*rows.columns, *(F.last(f"_{c}", ignorenulls=True).over(older).alias(f"_{c}") for c in names))
+    out = []
+    for c, name in names.items():
+        v, p = F.col(c), F.col(f"_{c}")
+        z = F.when((p["n"] >= 2) & (p["hi"] > p["lo"]), F.try_divide(v - p["m"], p["s"]))
+        out += [z.alias(name), F.coalesce(z.isNotNull() & (p["t0"] <= F.col("tick_no") - lookback_ticks), F.lit(False)).alias(f"{name}_warm")]
+    return prior.select(*rows.columns, *out)
+
+
+def prior_zscore(rows: DataFrame, value: str, lookback_ticks: int, keys: list[str], name: str = "z") -> DataFrame:
+    """``prior_zscores`` of one value."""
+    return prior_zscores(rows, {value: name}, lookback_ticks, keys)
 
 
 def generation_resets(book: DataFrame, ticks: DataFrame, cfg: Config, keys: list[str] = KEYS) -> DataFrame:

@@ -521,7 +521,7 @@ also("sta_10_health_fan_out", "jn_08_health_as_of")
 def coverage(spark, d):
     i = FE.Inputs(spark, d, DEMO)
     pick = ["exchange", "symbol", "us", "ord"]
-    return i.trades.select(pick).unionByName(i.prices().select(pick)).distinct().groupBy("exchange", "symbol").agg(F.count(F.lit(1)).alias("n"))
+    return i.trades.select(pick).unionByName(i.prices.select(pick)).distinct().groupBy("exchange", "symbol").agg(F.count(F.lit(1)).alias("n"))
 
 
 also("set_03_distinct_sources", "jn_09_source_coverage")
