@@ -69,3 +69,53 @@ def test_foreach_batch_appends_once(spark, tmp_path):
     for _ in range(2):
         live.run_available(s, lambda df, n: df.write.mode("append").parquet(out), str(tmp_path / "cp"))
     assert spark.read.parquet(out).count() == 10
+
+
+LATE = "exchange string, symbol string, ord long, us long, recv_us long"
+
+
+def reorder(spark, tmp_path, name, **how):
+    spark.createDataFrame([("A", "S", 0, 1, 1_000_000), ("A", "S", 1, 1, 900_000)], LATE).coalesce(1).write.parquet(str(tmp_path / "in"))
+    s = spark.readStream.schema(LATE).parquet(str(tmp_path / "in"))
+    q = live.fail_on_late(s, 250_000, **how).writeStream.format("memory").queryName(name).start()
+    add = lambda df: (df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in")), q.processAllAvailable())
+    out = lambda: [r["ord"] for r in spark.sql(f"select ord from {name}").collect()]
+    if "quiet_ms" not in how:  # else there is always another batch
+        q.processAllAvailable()
+    return q, add, out
+
+
+def test_clock_and_finish_let_held_rows_out(spark, tmp_path):
+    q, add, out = reorder(spark, tmp_path, "ends")
+    keys = spark.createDataFrame([("A", "S"), ("B", "S")], "exchange string, symbol string")
+    try:
+        assert out() == []
+        add(live.signal(keys, live.CLOCK, 1_200_000))
+        assert out() == [1]
+        add(live.signal(keys, live.FINISH, 0))
+        assert out() == [1, 0]
+        add(live.signal(keys, live.FINISH, 5_000_000))  # nothing is left
+        assert out() == [1, 0]
+        with pytest.raises(Exception, match="behind the watermark|after the end"):
+            add(spark.createDataFrame([("A", "S", 7, 1, 9_000_000)], LATE))
+    finally:
+        q.stop()
+
+
+def test_a_quiet_key_moves_with_the_wall_clock(spark, tmp_path):
+    import time
+
+    q, add, out = reorder(spark, tmp_path, "quiet", quiet_ms=200)
+    try:
+        for _ in range(100):
+            time.sleep(0.2)
+            if out() == [1, 0]:
+                break
+        assert out() == [1, 0]
+    finally:
+        q.stop()
+
+
+def test_a_full_reorder_buffer_fails(spark, tmp_path):
+    with pytest.raises(Exception, match="buffer is full"):
+        q, _, _ = reorder(spark, tmp_path, "full", most_held=1)

@@ -12,6 +12,7 @@ from tickframe.config import Config
 from tickframe.functions import scalars as S
 from tickframe.operators import timeline as TL
 from tickframe.operators.audit import scratch
+from tickframe.operators.identity import lineage_uri
 
 KEYS = TL.KEYS
 CELL = [*KEYS, "window_ticks", "tick_no"]
@@ -313,5 +314,7 @@ def lineage(i: Inputs) -> DataFrame:
     s = sources(i)
     for k, x in enumerate(S.limbs("digest")):
         s = s.withColumn(f"limb_{k}", x)
-    w = TL.window_aggregate(s, cfg, list(cfg.windows), {f"sum_{k}": F.col(f"limb_{k}") for k in range(S.LIMBS)}, {"oldest_us": F.col("us")}, {"newest_us": F.col("us")})
-    return i.grid.join(w, CELL, "left").select(*CELL, F.coalesce("n", F.lit(0)).cast("long").alias("source_event_count"), "oldest_us", "newest_us", S.carried().alias("digest_sum"))
+    w = TL.window_aggregate(s, cfg, list(cfg.windows), {f"sum_{k}": F.col(f"limb_{k}") for k in range(S.LIMBS)}, {"oldest_us": F.col("us")}, {"newest_us": F.col("us")}, xors={f"xor_{k}": F.col(f"limb_{k}") for k in range(S.LIMBS)})
+    xor = F.concat(*(F.lower(F.lpad(F.hex(F.coalesce(f"xor_{k}", F.lit(0).cast("long"))), 8, "0")) for k in reversed(range(S.LIMBS))))
+    out = i.grid.join(w, CELL, "left").select(*CELL, F.coalesce("n", F.lit(0)).cast("long").alias("source_event_count"), "oldest_us", "newest_us", S.carried().alias("digest_sum"), xor.alias("digest_xor"))
+    return out.withColumn("sources", lineage_uri(F.col("source_event_count"), F.col("digest_sum"), F.col("digest_xor"), F.col("oldest_us"), F.col("newest_us")))

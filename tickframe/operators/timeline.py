@@ -32,16 +32,16 @@ def with_slots(events: DataFrame, tick: int) -> DataFrame:
 SLICE = 3_600_000_000
 
 
-def with_before(events: DataFrame, keys: list[str], carry: dict[str, Column], width: int | None = None) -> DataFrame:
-    """The events with their ``slice`` of receive time and, for each of ``carry``, its maximum over all earlier slices.
+def with_before(events: DataFrame, keys: list[str], carry: dict[str, Column], width: int | None = None, agg=F.max) -> DataFrame:
+    """The events with their ``slice`` of receive time and, for each of ``carry``, its maximum (``agg``) over all earlier slices.
 
     A running value over a whole stream is then what was before its slice and what the slice adds, so the windows that
     follow are as many as keys times slices, and no task holds a stream. ``keys`` hold no nulls.
     """
     sliced = events.withColumn("slice", F.expr(f"recv_us div {width or SLICE}"))
-    tops = sliced.groupBy(*keys, "slice").agg(*(F.max(c).alias(k) for k, c in carry.items()))
+    tops = sliced.groupBy(*keys, "slice").agg(*(agg(c).alias(k) for k, c in carry.items()))
     earlier = Window.partitionBy(*keys).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)  # a row for each slice
-    return sliced.join(tops.select(*keys, "slice", *(F.max(k).over(earlier).alias(k) for k in carry)), [*keys, "slice"], "left")
+    return sliced.join(tops.select(*keys, "slice", *(agg(k).over(earlier).alias(k) for k in carry)), [*keys, "slice"], "left")
 
 
 def accepted(events: DataFrame, keys: list[str] = KEYS, policy: str = "drop", lateness: int = 0) -> DataFrame:
@@ -104,14 +104,14 @@ def grid(ticks: DataFrame, cfg: Config, keys: DataFrame) -> DataFrame:
     return ticks.crossJoin(F.broadcast(keys)).select("*", windows)
 
 
-def window_aggregate(events: DataFrame, cfg: Config, windows: list[int], sums: dict[str, Column] | None = None, mins: dict[str, Column] | None = None, maxs: dict[str, Column] | None = None, keys: list[str] = KEYS, previous: bool = False, before: dict[str, Column] | None = None) -> DataFrame:
-    """Sums, minima and maxima over (T - w, T], or over (T - 2w, T - w] when ``previous``, with n (rows).
+def window_aggregate(events: DataFrame, cfg: Config, windows: list[int], sums: dict[str, Column] | None = None, mins: dict[str, Column] | None = None, maxs: dict[str, Column] | None = None, keys: list[str] = KEYS, previous: bool = False, before: dict[str, Column] | None = None, xors: dict[str, Column] | None = None) -> DataFrame:
+    """Sums, minima, maxima and exclusive-ors over (T - w, T], or over (T - 2w, T - w] when ``previous``, with n (rows).
 
     ``before``: sums over (T - 2w, T - w] found in the same pass, with n_before; n is null where only these are.
     """
-    sums, mins, maxs, older = sums or {}, mins or {}, maxs or {}, before or {}
+    sums, mins, maxs, older, xors = sums or {}, mins or {}, maxs or {}, before or {}, xors or {}
     partial = with_slots(events, cfg.tick).groupBy(*keys, "es", "vs").agg(
-        F.count(F.lit(1)).alias("n"), *(F.sum(c).alias(k) for k, c in (sums | older).items()), *(F.min(c).alias(k) for k, c in mins.items()), *(F.max(c).alias(k) for k, c in maxs.items())
+        F.count(F.lit(1)).alias("n"), *(F.sum(c).alias(k) for k, c in (sums | older).items()), *(F.min(c).alias(k) for k, c in mins.items()), *(F.max(c).alias(k) for k, c in maxs.items()), *(F.bit_xor(c).alias(k) for k, c in xors.items())
     )
     frames = F.array(*(F.struct(F.lit(cfg.ticks(x)).alias("window_ticks"), F.lit(back).alias("back")) for x in windows for back in ((0, 1) if older else (int(previous),))))
     wide = partial.select("*", F.explode(frames).alias("_frame")).select("*", "_frame.*")
@@ -121,7 +121,7 @@ def window_aggregate(events: DataFrame, cfg: Config, windows: list[int], sums: d
     now = (lambda c: F.when(F.col("back") == 0, F.col(c))) if older else F.col
     then = lambda c: F.sum(F.when(F.col("back") == 1, F.col(c)))
     return ticks.groupBy(*keys, "window_ticks", "tick_no").agg(
-        F.sum(now("n")).alias("n"), *(F.sum(now(k)).alias(k) for k in sums), *(F.min(now(k)).alias(k) for k in mins), *(F.max(now(k)).alias(k) for k in maxs), *([then("n").alias("n_before"), *(then(k).alias(k) for k in older)] if older else [])
+        F.sum(now("n")).alias("n"), *(F.sum(now(k)).alias(k) for k in sums), *(F.min(now(k)).alias(k) for k in mins), *(F.max(now(k)).alias(k) for k in maxs), *(F.bit_xor(now(k)).alias(k) for k in xors), *([then("n").alias("n_before"), *(then(k).alias(k) for k in older)] if older else [])
     )
 
 

@@ -129,6 +129,21 @@ SELECT exchange, symbol, CAST(window_ticks AS BIGINT) AS window_ticks, tick_no,
 )
 
 
+def lineage_reference(spark: SparkSession, d: str) -> DataFrame:
+    return tidy(FE.lineage(FE.Inputs(spark, d, DEMO)), (*CELL, "digest_xor", "sources"))
+
+
+_XOR = " || ".join(f"lower(lpad(hex(coalesce(bit_xor(CAST('0x' || substr(digest, {64 - 8 * (i + 1) + 1}, 8) AS BIGINT)), 0)), 8, '0'))" for i in reversed(range(8)))
+QUERIES["scl_35_lineage_reference"] = lineage_reference
+ORACLES["scl_35_lineage_reference"] = (
+    sql("", "grid", "trades", "quotes", "liquidations", "levels").rstrip() + ",\n" + _SOURCES
+    + f""", x AS (SELECT g.exchange, g.symbol, CAST(g.window_ticks AS BIGINT) AS window_ticks, g.tick_no, {_XOR} AS digest_xor FROM grid g LEFT JOIN sources e ON e.exchange = g.exchange AND e.symbol = g.symbol
+      AND e.us <= g.tick_no * {DEMO.tick} AND e.recv_us <= g.tick_no * {DEMO.tick} AND e.us > (g.tick_no - g.window_ticks) * {DEMO.tick} GROUP BY ALL)
+SELECT x.exchange, x.symbol, x.window_ticks, x.tick_no, digest_xor, 'feature-sources://sha256-sum-xor-v1/' || sha256(concat_ws(chr(31), CAST(source_event_count AS VARCHAR), digest_sum, digest_xor, coalesce(CAST(oldest_us AS VARCHAR), chr(0)), coalesce(CAST(newest_us AS VARCHAR), chr(0)))) AS sources
+FROM x JOIN ({ORACLES['agg_29_lineage_digest']}) USING (exchange, symbol, window_ticks, tick_no)"""
+)
+
+
 def counts(spark: SparkSession, d: str) -> DataFrame:
     return tidy(FE.lineage(FE.Inputs(spark, d, DEMO)), (*CELL, "source_event_count", "oldest_us", "newest_us"))
 
@@ -230,12 +245,12 @@ ORACLES["fea_15_lead_lag"] = _CROSS + "SELECT 'UNAVAILABLE' AS lead_lag_status,
 
 
 def queries() -> dict[str, Query]:
-    from tickframe.plans import tables
+    from tickframe.plans import identities, tables
 
-    return QUERIES | tables.QUERIES
+    return QUERIES | tables.QUERIES | identities.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    from tickframe.plans import tables
+    from tickframe.plans import identities, tables
 
-    return ORACLES | tables.ORACLES
+    return ORACLES | tables.ORACLES | identities.ORACLES

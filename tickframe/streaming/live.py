@@ -6,6 +6,7 @@ microsecond before ``window``. The stateful parts keep bounded state for each ke
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 
 import pandas as pd
@@ -28,32 +29,56 @@ def hopping_trade_flow(trades: DataFrame, cfg: Config) -> DataFrame:
     return parts
 
 
-def fail_on_late(events: DataFrame, lateness_us: int, most_held: int = 100_000) -> DataFrame:
+#: ``ord`` of rows that are no events: the clock moves on, or the stream is finished.
+CLOCK, FINISH = -1, -2
+
+
+def signal(keys: DataFrame, kind: int, at_us: int) -> DataFrame:
+    """A ``CLOCK`` or ``FINISH`` row for each key (exchange, symbol), to go into the stream of ``fail_on_late``."""
+    return keys.select("exchange", "symbol", F.lit(kind).cast("long").alias("ord"), F.lit(None).cast("long").alias("us"), F.lit(at_us).cast("long").alias("recv_us"))
+
+
+def fail_on_late(events: DataFrame, lateness_us: int, most_held: int = 100_000, quiet_ms: int | None = None) -> DataFrame:
     """Reorder by receive time within the bound; an event at or behind the watermark fails the query.
 
-    events: exchange, symbol, ord, us, recv_us. Rows come out in order once the watermark has passed them;
-    what is still held comes out when the bound passes or the stream ends.
+    events: exchange, symbol, ord, us, recv_us. Rows come out in order once the watermark has passed them. The
+    watermark is the latest receive time less the bound; a ``CLOCK`` row moves it as an event would, and so does the
+    wall clock when a key was quiet for ``quiet_ms``. A ``FINISH`` row lets out all that is held up to the latest of
+    its time and what was seen, and seals the key: an event after it fails the query, another ``FINISH`` does nothing.
     """
     schema = "exchange string, symbol string, ord long, us long, recv_us long"
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        mark, held = state.get if state.exists else (-(1 << 62), [])
+        mark, sealed, held = state.get if state.exists else (-(1 << 62), False, [])
         held = [tuple(h) for h in zip(*[iter(held)] * 3, strict=True)]
+        seen, through = mark + lateness_us, None
+        if state.hasTimedOut:
+            seen = max(seen, time.time_ns() // 1000)
         for f in frames:
             for o, u, r in zip(f["ord"], f["us"], f["recv_us"], strict=True):
-                if r <= mark:
-                    raise RuntimeError(f"event {o} is behind the watermark")
+                if o == FINISH:
+                    through = max(int(r), through or int(r))
+                    continue
+                seen = max(seen, int(r))
+                if o == CLOCK:
+                    continue
+                if r <= mark or sealed:
+                    raise RuntimeError(f"event {o} is behind the watermark" if r <= mark else f"event {o} came after the end")
                 held.append((int(r), int(o), int(u)))
-        if held:
-            mark = max(mark, max(held)[0] - lateness_us)
         held.sort()
+        mark = max(mark, seen - lateness_us)
+        if through is not None:
+            mark, sealed = max(mark, seen, through), True
         if len(held) > most_held:
             raise RuntimeError("the reorder buffer is full")
         out = [h for h in held if h[0] <= mark]
-        state.update((mark, [x for h in held if h[0] > mark for x in h]))
+        state.update((mark, sealed, [x for h in held if h[0] > mark for x in h]))
+        if quiet_ms is not None and not sealed:
+            state.setTimeoutDuration(quiet_ms)
         yield pd.DataFrame({"exchange": [key[0]] * len(out), "symbol": [key[1]] * len(out), "ord": [h[1] for h in out], "us": [h[2] for h in out], "recv_us": [h[0] for h in out]})
 
-    return events.groupBy("exchange", "symbol").applyInPandasWithState(step, schema, "mark long, held array<long>", "append", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.NoTimeout if quiet_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    return events.groupBy("exchange", "symbol").applyInPandasWithState(step, schema, "mark long, sealed boolean, held array<long>", "append", timeout)
 
 
 def drop_duplicates_refreshed(events: DataFrame, ttl_us: int, capacity: int) -> DataFrame:
