@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickframe.llm import chat, decontaminate, langid, mixing, oracle, phrases, pii, secrets, simhash, suffixes, vectors
-from tickframe.llm.common import table
+from tickframe.llm.common import shared_folder, table
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,8 +53,12 @@ def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Secrets of every document, each content scanned once."""
-    found = secrets.findings(table(spark, sf_dir, "documents"))
+    """Secrets of every document, each content scanned once.
+
+    The setting ``spark.tickframe.secretLedger`` names a stored ledger to go on from; without it each run has a new one.
+    """
+    ledger = spark.conf.get("spark.tickframe.secretLedger", None) or f"{shared_folder(spark)}/ledger-{uuid.uuid4().hex}"
+    found = secrets.ledger_findings(table(spark, sf_dir, "documents"), ledger)
     spans = F.col("spans")
     count = lambda i: F.size(F.filter(spans, lambda s: s["kind"] == i)).cast("long")
     joined = secrets.spans_text(spans)

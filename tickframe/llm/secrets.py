@@ -2,7 +2,8 @@
 
 Every version of every path is addressed by the SHA-256 of its content. A ledger says which blobs were
 scanned under which rule version; only unseen pairs of blob and rule version are scanned, each content
-once however many paths or versions hold it, and findings are joined back to all paths.
+once however many paths or versions hold it, and findings are joined back to all paths. The ledger is stored
+as Parquet by rule version: a later run over grown or changed tables scans their new contents only.
 
 Positions come from the pieces between matches: ``split`` and ``regexp_extract_all`` give them in order,
 and their lengths in code points add up to starts and ends.
@@ -19,9 +20,11 @@ from __future__ import annotations
 import hashlib
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickframe.operators.audit import exists
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -93,12 +96,40 @@ def scan_unseen(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[R
     return blobs.select("blob", F.lit(version).alias("rule_version"), scan_text(F.col("text"), rules).alias("spans"))
 
 
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """The stored ledger, empty if there is none yet."""
+    if not exists(spark, path):
+        return empty_ledger(spark)
+    return spark.read.schema(f"blob string, spans {SPANS}, rule_version string").parquet(path)
+
+
+def extend_ledger(docs: DataFrame, path: str, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
+    """Scan the pairs of content and rule version that the ledger at ``path`` lacks, append them, and return it.
+
+    Rule versions are folders, so only the current one is read. An append is committed as a whole: a run that was
+    broken off leaves the ledger as it was. One writer at a time.
+    """
+    spark = docs.sparkSession
+    scan_unseen(docs, read_ledger(spark, path), rules, text_col).write.mode("append").partitionBy("rule_version").parquet(path, compression="zstd")
+    return read_ledger(spark, path)
+
+
 def findings(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, path_cols: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
     """The path columns, blob and spans of every row of ``docs``; seen blobs take theirs from the ledger."""
-    version = rule_version(rules)
     known = scan_unseen(docs, ledger, rules, text_col)
     if ledger is not None:
-        known = known.unionByName(ledger.where(F.col("rule_version") == version))
+        known = known.unionByName(ledger.where(F.col("rule_version") == rule_version(rules)))
+    return joined_back(docs, known, path_cols, text_col)
+
+
+def ledger_findings(docs: DataFrame, path: str, rules: tuple[Rule, ...] = RULES, path_cols: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
+    """``findings`` of every row, by way of the ledger stored at ``path``, which is brought up to date first."""
+    ledger = extend_ledger(docs, path, rules, text_col)
+    return joined_back(docs, ledger.where(F.col("rule_version") == rule_version(rules)), path_cols, text_col)
+
+
+def joined_back(docs: DataFrame, known: DataFrame, path_cols: tuple[str, ...], text_col: str) -> DataFrame:
+    """Findings of contents, at every path that holds them."""
     paths = docs.select(*path_cols, blob_id(F.col(text_col)).alias("blob"), salt_of(docs).alias("salt"))
     return paths.join(salted_hits(known), ["blob", "salt"], "left").select(*path_cols, "blob", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
 
