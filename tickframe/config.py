@@ -85,3 +85,15 @@ def fingerprint(config: Config) -> str:
     import hashlib
 
     return hashlib.sha256(json.dumps(asdict(config), sort_keys=True).encode()).hexdigest()
+
+
+def source_hash(root: str | None = None) -> str:
+    """SHA-256 over the names and contents of the package's Python files, in order of name."""
+    import hashlib
+    from pathlib import Path
+
+    folder, h = Path(root or Path(__file__).parent), hashlib.sha256()
+    for f in sorted(folder.rglob("*.py")):
+        body = f.read_bytes()
+        h.update(f"{f.relative_to(folder).as_posix()}\0{len(body)}\0".encode() + body)
+    return h.hexdigest()

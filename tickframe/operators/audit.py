@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,6 +28,44 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{folder}/{name}-{uuid.uuid4().hex}"
 
 
+@dataclass(frozen=True)
+class SnapshotFilter:
+    """Inclusive decisions and allowed values of stored snapshots; None allows all. ``reasons``: any of them."""
+
+    first_tick: int | None = None
+    last_tick: int | None = None
+    exchanges: frozenset[str] | None = None
+    symbols: frozenset[str] | None = None
+    windows: frozenset[int] | None = None
+    engine_version: str | None = None
+    config_hash: str | None = None
+    warm: bool | None = None
+    healthy: bool | None = None
+    reasons: frozenset[str] | None = None
+
+    def __post_init__(self) -> None:
+        if self.first_tick is not None and self.last_tick is not None and self.first_tick > self.last_tick:
+            raise ValueError("the range is reversed")
+
+    def applied(self, snapshots: DataFrame) -> DataFrame:
+        """Plain comparisons on stored columns, which reach the scan; those on partition folders prune them."""
+        c = F.lit(True)
+        if self.first_tick is not None:
+            c &= F.col("tick_no") >= self.first_tick
+        if self.last_tick is not None:
+            c &= F.col("tick_no") <= self.last_tick
+        for name, allowed in (("exchange", self.exchanges), ("symbol", self.symbols), ("window_ticks", self.windows)):
+            if allowed is not None:
+                for column in {name, f"p_{name}"} & set(snapshots.columns):
+                    c &= F.col(column).isin(*sorted(allowed))
+        for name, value in (("engine_version", self.engine_version), ("config_hash", self.config_hash), ("is_warm", self.warm), ("is_healthy", self.healthy)):
+            if value is not None:
+                c &= F.col(name) == value
+        if self.reasons is not None:
+            c &= F.arrays_overlap("reason_codes", F.array(*(F.lit(r) for r in sorted(self.reasons))))
+        return snapshots.where(c)
+
+
 AUDIT = ["rows", "ids", "payload_bytes", "partitions", "digest_sum"]
 
 

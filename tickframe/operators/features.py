@@ -26,9 +26,14 @@ class Inputs:
 
     book_generations: DataFrame | None = None
 
-    def __init__(self, spark, sf_dir: str, cfg: Config) -> None:
+    def __init__(self, spark, sf_dir: str, cfg: Config, start_us: int | None = None, end_us: int | None = None) -> None:
+        """``start_us`` and ``end_us`` bound the receive times, inclusively."""
         self.cfg = cfg
         self.all = market.base(spark, sf_dir)
+        if start_us is not None:
+            self.all = self.all.where(F.col("recv_us") >= start_us)
+        if end_us is not None:
+            self.all = self.all.where(F.col("recv_us") <= end_us)
         self.keys = spark.createDataFrame([(e, s) for e in (market.VENUE_A, market.VENUE_B) for s in market.SYMBOLS], "exchange string, symbol string")
         self.spine = TL.known_spine(self.all, cfg)
         self.grid = TL.grid(self.spine, cfg, self.keys)

@@ -75,6 +75,12 @@ def resolve_source(df: DataFrame, mode: str = "AUTO") -> str:
     return "JOURNAL"
 
 
+def check_lineage(captured: dict[str, str], runtime: dict[str, str]) -> None:
+    """Refuse a journal that other code or other settings captured; what the capture doesn't state differs too."""
+    if differ := [k for k in sorted(runtime) if captured.get(k) != runtime[k]]:
+        raise ValueError(f"the journal was captured by another engine: {', '.join(differ)}")
+
+
 def journal_record(events: DataFrame, fields: list[str]) -> DataFrame:
     """Events as journal rows: canonical JSON (fields by name, nulls kept) in the payload."""
     body = F.to_json(F.struct(*sorted(fields)), {"ignoreNullFields": "false"})
