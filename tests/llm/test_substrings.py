@@ -1,11 +1,13 @@
 import hashlib
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
 
 from tests.llm.data import SCHEMA, corpus, words
 from tickframe.llm import phrases, repeats, suffixes
+from tickframe.llm.common import shared_folder
 
 ORDER = lambda r: (r[0] is None, r[0] or 0)
 
@@ -157,3 +159,23 @@ def test_lines_that_repeat_within_documents(spark, operator, brute):
     rows = [(i, "\n".join(rng.choice(lines) if rng.random() < 0.7 else f"own {i} {k}" for k in range(8))) for i in range(40)]
     got = {r[0]: tuple(r)[1:] for r in operator(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
     assert got == brute(rows)
+
+
+@pytest.mark.parametrize("operator, brute", [(phrases.deduplicate, by_words), (suffixes.deduplicate, by_bytes)])
+def test_written_tables_have_few_files(spark, operator, brute):
+    """Each file forks the JVM that writes it: there are half as many as shuffle partitions at most."""
+    folder = Path(shared_folder(spark).removeprefix("file:"))
+    before = set(folder.glob("table-*"))
+    conf = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in conf}
+    rows = corpus(4)
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = {r[0]: tuple(r)[1:] for r in operator(spark.createDataFrame(rows, SCHEMA)).collect()}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    files = sorted(len(list(t.glob("part-*"))) for t in set(folder.glob("table-*")) - before)
+    assert len(files) == 3 and files[-1] <= 32, files
+    assert got == brute(rows)

@@ -70,9 +70,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``cut`` as Parquet: for tables of which later steps read some columns only. What was shuffled for it is freed at once."""
+def stored(df: DataFrame, share: int = 1) -> DataFrame:
+    """``cut`` as Parquet: for tables of which later steps read some columns only. What was shuffled for it is freed at once.
+
+    With ``share``, a task writes the rows of so many shuffle partitions to one file, where that leaves a task for each
+    core. A file is not free: Hadoop's local file system forks the executor's JVM for the rights of each one and of its
+    checksum, and until the child has its own program, both count as holding the JVM's memory.
+    """
     spark = df.sparkSession
+    if share > 1:
+        df = df.coalesce(max(spark.sparkContext.defaultParallelism, -(-partitions(spark) // share)))
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     free = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(free, None)

@@ -37,6 +37,8 @@ from tickframe.llm.common import mix, small_batches, span_hashes, stored, text_b
 
 #: Different texts of one anchor that are compared in one piece; more are counted window by window.
 HOT = 1 << 14
+#: Shuffle partitions of which one task writes a table's rows to one file.
+SHARE = 2
 #: Bits that a place takes in a sort key beside its hash: windows are worked through in slices of fewer
 #: places, whose arrays stay in the processor's cache.
 PLACE_BITS = 17
@@ -288,7 +290,7 @@ def passages(found: DataFrame, units: Units, window: int) -> DataFrame:
     """h, digest, lo, hi, doc, at: runs of recurring windows within each stretch's text, and where they stand first."""
     texts = found.groupBy("h", "digest").agg(F.min(F.struct("id", "start")).alias("f"), F.sum("n").alias("n"), F.first("size").alias("size"))
     kinds = texts.groupBy("h").agg(F.count(F.lit(1)).alias("k"))
-    texts = stored(texts.join(kinds, "h").select("h", "digest", F.col("f.id").alias("doc"), F.col("f.start").alias("at"), "n", "size", "k").where("k > 1 or n > 1"))
+    texts = stored(texts.join(kinds, "h").select("h", "digest", F.col("f.id").alias("doc"), F.col("f.start").alias("at"), "n", "size", "k").where("k > 1 or n > 1"), SHARE)
     alone = texts.where("k = 1").select("h", "digest", F.lit(0).alias("lo"), F.col("size").alias("hi"), "doc", "at")
     shown = found.where("text is not null").select("h", "digest", "text")
     several = texts.where("k > 1").join(shown, ["h", "digest"]).dropDuplicates(["h", "digest"]).select("h", "digest", "text", "n", "doc", "at", "k")
@@ -318,7 +320,7 @@ def passages(found: DataFrame, units: Units, window: int) -> DataFrame:
     each = several.where(F.col("k") > HOT).mapInArrow(spread, "key long, h long, digest long, lo int, n long, doc long, at int")
     often = each.groupBy("key", "h").agg(F.min(F.struct("doc", "at")).alias("f"), F.sum("n").alias("times")).where("times > 1")
     many = each.select("key", "h", "digest", "lo").join(often, ["key", "h"]).select("h", "digest", "lo", (F.col("lo") + window).alias("hi"), "f.doc", "f.at")
-    return stored(alone.unionByName(few).unionByName(many))
+    return stored(alone.unionByName(few).unionByName(many), SHARE)
 
 
 def wanted(found: DataFrame, confirmed: DataFrame) -> DataFrame:
@@ -347,7 +349,7 @@ def without_repeats(docs: DataFrame, units: Units, window: int, gram: int, locat
     """
     small_batches(docs.sparkSession)
     base, made = numbered(docs, id_col, text_col)
-    found = stored(stretches(base, recurring(base, units, window, gram), units, window, gram))
+    found = stored(stretches(base, recurring(base, units, window, gram), units, window, gram), SHARE)
     none = F.array().cast("array<struct<lo:int,hi:int,doc:bigint,at:int>>")
     names = [c.split()[0] for c in schema.split(",")]
 
